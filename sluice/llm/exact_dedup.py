@@ -129,3 +129,11 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = some.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     alone = maybe.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     return alone.unionByName(own)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay. Only the dropped ids and digests meet the texts, in an anti join."""
+    ws = Workspace(spark, "exact-dedup-dropped")
+    gone = ws.save(exact_groups(spark, docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")), "dropped")
+    own = F.unhex(F.sha2(normalised().cast("binary"), 256))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (own == gone["_digest"]), "left_anti")
