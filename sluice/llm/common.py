@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,9 +51,11 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of stages that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of stages that are over; it works after the JVM's collection."""
+        for _ in range(3):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

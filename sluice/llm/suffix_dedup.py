@@ -7,7 +7,7 @@ large period v and one level of names is enough:
    ``length`` bytes are equal, some shift below v brings both starts to sampled places, and the
    length - v + 1 bytes from there are equal. Windows of that size are named by hash and sorted in buckets;
    equal neighbours are repeated. This leaves the starts that can be repeated at all.
-2. Remaining suffixes: the starts up to v - 1 before a repeated sampled place are named by 96 bits of their
+2. Remaining suffixes: the starts up to v - 1 before a repeated sampled place are named by 80 bits and the bucket of their
    ``length`` bytes and sorted in buckets; equal neighbours are repeated starts, in any document or the same.
 3. Each document drops the bytes that repeated starts cover, judged on the input.
 
@@ -132,7 +132,7 @@ class BlockOfDocs:
         return np.flatnonzero(ok)
 
     def named(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names of starts, by bucket: bucket, 64 bits, 32 bits, which name each start has, recurring here."""
+        """Distinct names of starts, by bucket: bucket, 64 bits, 16 bits, which name each start has, recurring here."""
         h, g = (window_hash(self.data, at, self.length, k) for k in (0, 1))
         h = h ^ np.uint64(self.length)
         _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
@@ -141,7 +141,7 @@ class BlockOfDocs:
         order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return bucket[order], h[order], (g[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), back[inverse], (n > 1)[order]
+        return bucket[order], h[order], (g[order] & np.uint64(0xFFFF)).astype(np.uint16), back[inverse], (n > 1)[order]
 
 
 def _cuts(bucket: np.ndarray, buckets: int) -> np.ndarray:
@@ -239,7 +239,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
     def answer_b(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
         at = np.cumsum([0, *map(len, names)])
-        twice = _equal_neighbours(np.concatenate(names), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["more"]]))
+        twice = _equal_neighbours(np.concatenate(names), np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["more"]]))
         rows = [(block, 1, key[0], _bits(twice[at[i] : at[i + 1]] | _unbits(here, at[i + 1] - at[i])), b"") for i, (block, here) in enumerate(zip(pdf["block"], pdf["here"], strict=True))]
         return pd.DataFrame(rows, columns=["block", "step", "bucket", "bits", "docs"])
 
