@@ -121,12 +121,13 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     maybe = with_flag(table, "h", repeated_filter(table.select("h"), m), m, "maybe")
     maybe = ws.save(maybe.drop("h"), "tested")
     some = maybe.where("maybe")
+    # written, so that the join below stands on two plain shuffles, which AQE can split where a group is large
     groups = some.groupBy("digest").agg(
         F.count(F.lit(1)).alias("group_size"),
         # the longest, then the smallest id; nulls last
         F.min(F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"))).getField("id").alias("keep_id"),
     )
-    own = some.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    own = some.join(ws.save(groups, "groups"), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     alone = maybe.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     return alone.unionByName(own)
 
