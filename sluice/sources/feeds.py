@@ -1,0 +1,104 @@
+"""Raw payloads to rows: JSON, RSS/Atom and HTML, each with what it can't parse as no rows."""
+
+from __future__ import annotations
+
+import html.parser
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+
+_RECORD = "title string, company string, location string, url string, description string, posted_at string, tags array<string>"
+
+
+def json_records(raw: DataFrame, array_field: str, body: str = "body") -> DataFrame:
+    """An array of objects in a JSON body to rows; a malformed body gives none. Dict-typed and scalar tags become arrays."""
+    item = "struct<title:string,company:string,location:string,url:string,description:string,posted_at:string,tags:string>"
+    found = F.from_json(F.col(body), f"struct<`{array_field}`:array<{item}>>").getField(array_field)
+    rows = raw.withColumn("_r", F.explode(found)).select(*[c for c in raw.columns if c != body], "_r.*")
+    t = F.col("tags")
+    tags = F.when(t.startswith("["), F.from_json(t, "array<string>")).when(t.startswith("{"), F.map_values(F.from_json(t, "map<string,string>"))).when(t.isNotNull(), F.array(t)).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("tags", tags)
+
+
+def rss_records(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Items of an RSS body to rows; bare ampersands are repaired, a body that is not XML gives none. Titles split at the first colon."""
+    safe = F.regexp_replace(F.col(body), "&(?!#?[A-Za-z0-9]{1,8};)", "&amp;")
+    schema = "struct<channel:struct<item:array<struct<title:string,link:string,description:string,pubDate:string,region:string>>>>"
+    item = F.explode(F.from_xml(safe, schema).getField("channel").getField("item"))
+    rows = raw.withColumn("_r", item).select(*[c for c in raw.columns if c != body], "_r.*")
+    parts = F.split("title", ":", 2)
+    left, right = F.trim(F.element_at(parts, 1)), F.trim(F.try_element_at(parts, F.lit(2)))
+    ok = F.length(left).between(1, 45) & (F.length(right) >= 3)
+    return rows.select(*[c for c in raw.columns if c != body], F.when(ok, left).alias("company"), F.when(ok, right).otherwise(F.col("title")).alias("title"), F.coalesce(F.nullif(F.trim("region"), F.lit("")), F.lit("Anywhere")).alias("location"), F.col("link").alias("url"), "description", F.col("pubDate").alias("posted_at"))
+
+
+class _Page(html.parser.HTMLParser):
+    """Texts of elements by class, in cards that begin with an element of one of the card classes."""
+
+    def __init__(self, cards: list[str], fields: dict[str, list[str]]):
+        super().__init__(convert_charrefs=True)
+        self.cards, self.fields, self.rows, self.open, self.depth = cards, fields, [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        classes = (a.get("class") or "").split() + [x for x in (a.get("data-role"), a.get("itemprop")) if x]
+        if tag not in ("br", "img", "hr", "input", "meta", "link"):
+            self.depth += 1
+            own = [(f, i) for f, ladder in self.fields.items() for i, c in enumerate(ladder) if c in classes]
+            if any(c in classes for c in self.cards):
+                self.rows.append({})
+            self.open.append((self.depth, own))
+            for f, i in own:
+                if self.rows and a.get("href") and f == "url":
+                    self.rows[-1].setdefault((f, i), []).append(a["href"])
+
+    def handle_endtag(self, tag):
+        if self.open:
+            self.open.pop()
+            self.depth -= 1
+
+    def handle_data(self, data):
+        for _, own in self.open:
+            for f, i in own:
+                if self.rows and f != "url":
+                    self.rows[-1].setdefault((f, i), []).append(data)
+
+
+def html_records(raw: DataFrame, cards: list[str], fields: dict[str, list[str]], body: str = "body", key: str = "source") -> DataFrame:
+    """Cards of HTML bodies to rows: per field the first class of its ladder with text, and confidence, the share of first choices.
+
+    Cards without a title are dropped. Python, because no built-in parses HTML; one Arrow pass, no shuffle.
+    """
+    names = list(fields)
+    schema = ", ".join([f"{key} string", *(f"`{n}` string" for n in names), "confidence double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf[key], pdf[body], strict=True):
+                page = _Page(cards, fields)
+                page.feed(text or "")
+                for card in page.rows:
+                    row, first = {key: k}, 0
+                    for f in names:
+                        for i in range(len(fields[f])):
+                            if value := " ".join(" ".join(card.get((f, i), [])).split()):
+                                row[f], first = value, first + (i == 0)
+                                break
+                    if row.get("title"):
+                        out.append(row | {"confidence": round(first / len(names), 3)})
+            yield pd.DataFrame(out, columns=[key, *names, "confidence"])
+
+    return raw.select(key, body).mapInPandas(run, schema)
+
+
+def hiring_records(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Hits of a hiring feed: company and role from the title's grammar, confidence 0.45 where it has none."""
+    hit = "struct<title:string,url:string,objectID:string,created_at:string>"
+    rows = raw.withColumn("_r", F.explode(F.from_json(F.col(body), f"struct<hits:array<{hit}>>").getField("hits"))).select(*[c for c in raw.columns if c != body], "_r.*")
+    own = X.hiring_split("title")
+    return rows.withColumns({"company": own["company"], "confidence": own["confidence"]}).withColumn("title", own["role"]).withColumn("tags", F.array(F.lit("yc")))
