@@ -6,13 +6,14 @@ permutation of the places, one place a round, with rank round + random; a docume
 a value below the next round's. Signatures are cut into BANDS bands of ROWS places; at similarity 0.8 a pair shares no band with
 a chance of about 5e-8.
 
-Candidates are verified on full sets in two steps, neither of which emits all pairs of a bucket. First each
-class is paired with the smallest class of each of its buckets, and links give components. Then, in buckets that still
-hold several components, each class outside the bucket's largest component is held against the classes of other
-components there, by signature estimate and then on full sets. What is connected already needs no further pair, so
-components are those of all links that share a bucket.
+Candidates are verified on full sets in two steps, neither of which emits all pairs of a bucket. First each class is
+paired with the smallest class of each of its buckets, and links give components. Then, in buckets that still hold several
+components, each class outside the largest one is held against the classes of other components, nearest
+signatures first and on full sets; a link joins two components at once, so a group sends fewer links than it has
+components. What is connected already needs no further pair, so components are those of all links that share a bucket.
 
-Sets travel once for each candidate pair to the pair's pivot; pivots with many partners are split into salted groups.
+The texts of classes that share a bucket shuffle once, to make their sets; then sets travel, once for each candidate pair, to
+the pair's pivot; pivots with many partners are split into salted groups.
 
 Null and empty texts, and ones without words: size 0, own component, kept. Null id: as if linked with nothing (component null, kept).
 Repeated ids: each row by its own text; rows of one class share a component. Empty table: no rows.
@@ -35,10 +36,12 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
-#: Pairs whose estimate is under the threshold by more than this (five deviations) aren't verified.
-MARGIN = 0.18
+#: Pairs whose estimate is under the threshold by more than this (four deviations) aren't verified.
+MARGIN = 0.14
 #: Members that meet a pivot, or a block of a bucket, in one group.
 GROUP = 256
+#: Classes outside the largest component that one group of a bucket holds.
+OUTSIDE = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -144,77 +147,130 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sig binary")
 
 
-def _verified(ws: Workspace, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id, elements (48 bits each, ascending) of the documents whose id is in ``wanted``."""
 
-    ``pairs`` holds classes, named by a document. The texts are shuffled once, by id, to find those of the classes; sets
-    of 64-bit hashes go to the pair's pivot b, in groups of about GROUP partners.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingles(t, size) >> np.uint64(16) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in own], pa.binary())], names=["id", "elements"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(run, "id long, elements binary")
+
+
+def _read(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return x.reshape(-1).view("<u8")
+
+
+def _linked(s: np.ndarray, c: np.ndarray, percent: int) -> bool:
+    low, high = sorted((len(s), len(c)))
+    if not low or 100 * low < percent * high:
+        return False
+    both = int((c[np.minimum(np.searchsorted(c, s), len(c) - 1)] == s).sum())
+    return 100 * both >= percent * (low + high - both)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, by id, whose sets have 100 * intersection >= percent * union.
+
+    Sets go to the pair's pivot b, in groups of about GROUP partners.
     """
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).withColumn("salts", F.ceil(F.col("m") / GROUP).cast("int"))
     salted = pairs.join(degree, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     # where each class's set must go: to its pivots as a partner, and to its own groups as a pivot
     partner = salted.select(F.col("a").alias("id"), F.struct(F.col("b").alias("pivot"), "salt", F.lit(False).alias("own")).alias("to"))
     pivot = degree.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("id", F.struct(F.col("id").alias("pivot"), "salt", F.lit(True).alias("own")).alias("to"))
-    goes = partner.unionByName(pivot)
-    wanted = goes.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [shingles(t, size) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in own], pa.binary())], names=["id", "elements"])
-
     # a repeated id has several texts; each of its sets is held against the pivot's
-    placed = texts.mapInArrow(sets, "id long, elements binary").join(goes, "id").select("to.pivot", "to.salt", "to.own", "id", "elements")
+    placed = sets.join(partner.unionByName(pivot), "id").select("to.pivot", "to.salt", "to.own", "id", "elements")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        def read(b: bytes) -> np.ndarray:
-            x = np.zeros((len(b) // 6, 8), np.uint8)
-            x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-            return x.reshape(-1).view("<u8")
-
-        centres = [read(x) for x in pdf["elements"][pdf["own"]]]
+        centres = [_read(x) for x in pdf["elements"][pdf["own"]]]
         found = []
         for i, x in zip(pdf["id"][~pdf["own"]], pdf["elements"][~pdf["own"]], strict=True):
-            s = read(x)
+            s = _read(x)
             for c in centres:
-                low, high = sorted((len(s), len(c)))
-                if 100 * low < percent * high:
-                    continue
-                both = int((c[np.minimum(np.searchsorted(c, s), len(c) - 1)] == s).sum())
-                if 100 * both >= percent * (low + high - both):
+                if _linked(s, c, percent):
                     found.append(i)
                     break
         return pd.DataFrame({"a": np.array(found, np.int64), "b": np.full(len(found), key[0], np.int64)})
 
-    out = ws.save(placed.groupBy("pivot", "salt").applyInPandas(compare, "a long, b long"), name)
-    ws.release()
-    return out
+    return placed.groupBy("pivot", "salt").applyInPandas(compare, "a long, b long")
+
 
+def _cross(buckets: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, enough to join all components that links join.
 
-def _cross(buckets: DataFrame, sigs: DataFrame, labels: DataFrame, n_least: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures agree in ``n_least`` places or more."""
-    lab = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    ``known`` has id, sig, elements. A bucket is dealt out in blocks of its members by sub-blocks of those outside its
+    largest component; each group holds a block and a sub-block and joins components as it finds links.
+    """
+    lab = buckets.join(labels, buckets.id == labels.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     sizes = lab.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.max(F.struct("m", "component")).alias("top")).where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("members") / GROUP).cast("int").alias("blocks"))
-    own = lab.join(mixed, "key").join(sigs, "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    majors = own.select("key", block.alias("block"), "id", "component", "sig", F.lit(False).alias("minor"))
-    minors = own.where("component != main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "sig", F.lit(True).alias("minor"))
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda x: np.frombuffer(b"".join(x), np.uint16).reshape(-1, PLACES)
-        left, right = pdf[pdf["minor"]], pdf[~pdf["minor"]]
-        found: dict[str, list] = {"a": [], "b": []}
-        if len(left) and len(right):
-            r, rid, rc = read(right["sig"]), right["id"].to_numpy(), right["component"].to_numpy()
-            for s, i, c in zip(read(left["sig"]), left["id"], left["component"], strict=True):
-                hit = rid[((r == s).sum(axis=1) >= n_least) & (rc != c)]
-                found["a"] += np.maximum(hit, i).tolist()
-                found["b"] += np.minimum(hit, i).tolist()
-        return pd.DataFrame({k: np.array(v, np.int64) for k, v in found.items()})
-
-    return majors.unionByName(minors).groupBy("key", "block").applyInPandas(meet, "a long, b long").distinct()
+    mixed = (
+        sizes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.max(F.struct("m", "component")).alias("top")).where("kinds > 1")
+        .select("key", F.col("top.component").alias("main"), F.ceil(F.col("members") / GROUP).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("top.m")) / OUTSIDE).cast("int").alias("subs"))
+    )
+    own = lab.join(mixed, "key").join(known, "id")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ("id", "component", "sig", "elements")
+    majors = own.select("key", "band", dealt("blocks").alias("block"), every("subs").alias("sub"), *rest, F.lit(False).alias("minor"))
+    minors = own.where("component != main").select("key", "band", every("blocks").alias("block"), dealt("subs").alias("sub"), *rest, F.lit(True).alias("minor"))
+    least = PLACES * (percent / 100 - MARGIN)
+
+    def links(rows: dict[str, list], band: int) -> list[tuple[int, int]]:
+        minor = np.array(rows["minor"])
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, PLACES)
+        ids, root = rows["id"], {c: c for c in rows["component"]}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sets, out = {}, []
+        for i in left:
+            same = sig[right] == sig[i]
+            agree = same.sum(axis=1)
+            near = np.flatnonzero(agree >= least)
+            # a pair is looked at in the first bucket that it shares
+            near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            for j in right[near[np.argsort(-agree[near], kind="stable")]]:
+                a, b = find(rows["component"][i]), find(rows["component"][j])
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = _read(rows["elements"][k])
+                if _linked(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("id", "component", "sig", "elements", "minor")
+        now, rows = None, {}
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            for key, block, sub, band, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if (key, block, sub) != now:
+                    if now is not None and any(rows["minor"]) and not all(rows["minor"]):
+                        found += links(rows, last)
+                    now, last, rows = (key, block, sub), band, {n: [] for n in names}
+                for n, x in zip(names, row, strict=True):
+                    rows[n].append(x)
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
+                found = []
+        if now is not None and any(rows["minor"]) and not all(rows["minor"]):
+            found = links(rows, last)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    group = ("key", "block", "sub")
+    return majors.unionByName(minors).select(*group, "band", *rest, "minor").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -224,17 +280,18 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     classes = ws.save(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     # a class is known by its smallest document; of repeated rows of it one is enough
     heads = ws.save(signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id", "sig"]), "heads")
-    buckets = heads.select("id", F.explode("bands").alias("key"))
+    buckets = heads.select("id", F.posexplode("bands").alias("band", "key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("b")).where("m > 1").drop("m")
     shared = ws.save(buckets.join(full, "key"), "buckets")
+    sets = ws.save(_sets(docs, shared.select("id").distinct(), size), "sets")
+    ws.release()
     pairs = ws.save(shared.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    links = _verified(ws, docs, pairs, size, percent, "links")
+    links = ws.save(_verified(sets, pairs, percent), "links")
     labels = components(ws, links, "first")
-    least = PLACES * (percent / 100 - MARGIN)
-    more = ws.save(_cross(shared.select("key", "id"), heads.select("id", "sig"), labels, least).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    ws.release()
+    more = ws.save(_cross(shared.select("key", "band", "id"), heads.select("id", "sig").join(sets, "id"), labels, percent), "more-links")
     if not more.isEmpty():
-        links = links.unionByName(_verified(ws, docs, more, size, percent, "more-links"))
-        labels = components(ws, links, "second")
+        labels = components(ws, links.unionByName(more), "second")
     member = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("component", "id").alias("found"))
     component = F.coalesce("found", "doc_id")
     return signed.select("doc_id", "n", "digest").join(member, "digest", "left").select(
