@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import claim, map_texts
 
 #: Bits of a bitmap node; entries of the cache of pre-tokens before it is emptied; bytes of a cached pre-token at most.
 NODE_BITS, CACHE, CACHED_BYTES = 8, 1_000_000, 64
@@ -161,6 +161,7 @@ def codec(path: str, pattern: str) -> ByteBPE:
     """The codec of a rank file; one for each worker process, with its caches."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = ByteBPE(path, pattern)
+    claim("byte_bpe", _codecs.clear)
     return _codecs[path, pattern]
 
 

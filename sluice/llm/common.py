@@ -58,6 +58,21 @@ class Workspace:
             time.sleep(0.4)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Of the caches that operators keep in a worker process from task to task, leave only ``name``'s.
+
+    ``clear`` empties them; a worker is used by several operators in turn, and then holds one's caches at once.
+    """
+    for other, empty in _caches.items():
+        if other != name:
+            empty()
+    if clear:
+        _caches[name] = clear
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

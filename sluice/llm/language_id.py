@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Workspace, held_out, slices, texts_of
+from .common import Workspace, claim, held_out, slices, texts_of
 
 ORDER, MAX_GRAMS, DISCOUNT = 4, 200_000, 0.75
 #: A text is rejected over mean + REJECT deviations of its length class, at least SLACK nats over the mean.
@@ -92,6 +92,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         seen: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -253,6 +254,7 @@ def scores(spark: SparkSession, docs: DataFrame, models: Models) -> DataFrame:
     schema = T.StructType([*docs.select("doc_id", "lang").schema.fields, T.StructField("best", T.StringType()), T.StructField("entropy", T.DoubleType()), T.StructField("second", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         m = sent.value
         scorer = m.scorer()
         for batch in slices(batches):
@@ -317,6 +319,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("language_id")
         m, most = sent.value
         scorer = m.scorer()
         for texts in parts:

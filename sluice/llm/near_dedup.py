@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, texts_of
+from .common import Workspace, claim, slices, texts_of
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -55,7 +55,7 @@ class _Words(dict):
     """64-bit hash of a word, found once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (set size), digest of the set, bands and a 16-bit signature; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _words.clear)
         for batch in slices(batches, 128):
             sets = [shingles(t, size) for t in texts_of(batch.column(1))]
             full = [i for i, s in enumerate(sets) if len(s)]

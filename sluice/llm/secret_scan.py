@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import claim, map_texts
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -248,6 +248,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def clean(text):
+        claim("secret_scan")
+
         def one(t):
             if not t:
                 return t

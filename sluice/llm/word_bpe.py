@@ -15,6 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import claim
+
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = r"[\p{White_Space}]"
 #: Entries of a cache before it is emptied.
@@ -27,6 +29,7 @@ def encoder(path: str) -> WordEncoder:
     """The encoder of a file; one for each worker process, with its caches."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    claim("word_bpe", lambda: [e.forget() for e in _encoders.values()])
     return _encoders[path]
 
 
@@ -51,6 +54,10 @@ class WordEncoder:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     @staticmethod
     def _known(said: dict) -> bool:
         norm = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
