@@ -37,7 +37,7 @@ ORDER, MAX_GRAMS, DISCOUNT = 4, 200_000, 0.75
 #: A text is rejected over mean + REJECT deviations of its length class, at least SLACK nats over the mean.
 REJECT, SLACK = 8.0, 0.6
 #: Distinct words that a task counts, or scores it keeps, before they are emptied.
-HELD = 400_000
+HELD = 250_000
 #: Sharpness of the score that is reported.
 SHARP = 12.0
 
