@@ -200,11 +200,50 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("pivot", "salt").applyInPandas(compare, "a long, b long")
 
 
-def _cross(buckets: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """((key, block, sub, band), columns) of each run of rows of one group; the rows come sorted by group."""
+    now, rows = None, {}
+    for batch in batches:
+        names = batch.schema.names
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if values[:4] != now:
+                if now is not None:
+                    yield now, rows
+                now, rows = values[:4], {n: [] for n in names[4:]}
+            for n, x in zip(names[4:], values[4:], strict=True):
+                rows[n].append(x)
+    if now is not None:
+        yield now, rows
+
+
+def _near(rows: dict[str, list], band: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row outside the largest component, and the rows of other components whose signatures are near, nearest first."""
+    minor = np.array(rows["minor"], bool)
+    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+    if not len(left) or not len(right):
+        return
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, PLACES)
+    component = np.array(rows["component"], np.int64)
+    for i in left:
+        same = sig[right] == sig[i]
+        agree = same.sum(axis=1)
+        near = np.flatnonzero((agree >= least) & (component[right] != component[i]))
+        # a pair is looked at in the first bucket that it shares
+        near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(near):
+            yield i, right[near[np.argsort(-agree[near], kind="stable")]]
+
+
+_GROUP = ("key", "block", "sub", "band")
+_NEAR = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("sub", pa.int32()), ("band", pa.int32()), ("id", pa.int64()), ("component", pa.int64()), ("sig", pa.binary()), ("minor", pa.bool_())])
+
+
+def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket, enough to join all components that links join.
 
-    ``known`` has id, sig, elements. A bucket is dealt out in blocks of its members by sub-blocks of those outside its
-    largest component; each group holds a block and a sub-block and joins components as it finds links.
+    ``known`` has id, sig. A bucket is dealt out in blocks of its members by sub-blocks of those outside its largest
+    component. Signatures alone travel first; the sets follow only of members that have a near signature in their group,
+    which then joins components as it finds links.
     """
     lab = buckets.join(labels, buckets.id == labels.node, "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     sizes = lab.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -215,63 +254,52 @@ def _cross(buckets: DataFrame, known: DataFrame, labels: DataFrame, percent: int
     own = lab.join(mixed, "key").join(known, "id")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = ("id", "component", "sig", "elements")
-    majors = own.select("key", "band", dealt("blocks").alias("block"), every("subs").alias("sub"), *rest, F.lit(False).alias("minor"))
-    minors = own.where("component != main").select("key", "band", every("blocks").alias("block"), dealt("subs").alias("sub"), *rest, F.lit(True).alias("minor"))
+    rest = ("band", "id", "component", "sig")
+    majors = own.select("key", dealt("blocks").alias("block"), every("subs").alias("sub"), *rest, F.lit(False).alias("minor"))
+    minors = own.where("component != main").select("key", every("blocks").alias("block"), dealt("subs").alias("sub"), *rest, F.lit(True).alias("minor"))
     least = PLACES * (percent / 100 - MARGIN)
 
-    def links(rows: dict[str, list], band: int) -> list[tuple[int, int]]:
-        minor = np.array(rows["minor"])
-        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, PLACES)
-        ids, root = rows["id"], {c: c for c in rows["component"]}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        sets, out = {}, []
-        for i in left:
-            same = sig[right] == sig[i]
-            agree = same.sum(axis=1)
-            near = np.flatnonzero(agree >= least)
-            # a pair is looked at in the first bucket that it shares
-            near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            for j in right[near[np.argsort(-agree[near], kind="stable")]]:
-                a, b = find(rows["component"][i]), find(rows["component"][j])
-                if a == b:
-                    continue
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = _read(rows["elements"][k])
-                if _linked(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
-        return out
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _grouped(batches):
+            use: set[int] = set()
+            for i, near in _near(rows, group[3], least):
+                use.add(int(i))
+                use.update(near.tolist())
+            if use:
+                at = sorted(use)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), t) for x, t in zip(group, _NEAR.types, strict=False)] + [pa.array([rows[n][i] for i in at], _NEAR.field(n).type) for n in _NEAR.names[4:]], schema=_NEAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "component", "sig", "elements", "minor")
-        now, rows = None, {}
-        found: list[tuple[int, int]] = []
-        for batch in batches:
-            for key, block, sub, band, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                if (key, block, sub) != now:
-                    if now is not None and any(rows["minor"]) and not all(rows["minor"]):
-                        found += links(rows, last)
-                    now, last, rows = (key, block, sub), band, {n: [] for n in names}
-                for n, x in zip(names, row, strict=True):
-                    rows[n].append(x)
+        for group, rows in _grouped(batches):
+            ids, component = rows["id"], rows["component"]
+            root = {c: c for c in component}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            parsed: dict[int, np.ndarray] = {}
+            found = []
+            for i, near in _near(rows, group[3], least):
+                for j in near:
+                    a, b = find(component[i]), find(component[j])
+                    if a == b:
+                        continue
+                    for k in (i, j):
+                        if k not in parsed:
+                            parsed[k] = _read(rows["elements"][k])
+                    if _linked(parsed[i], parsed[j], percent):
+                        root[max(a, b)] = min(a, b)
+                        found.append((ids[i], ids[j]))
             if found:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
-                found = []
-        if now is not None and any(rows["minor"]) and not all(rows["minor"]):
-            found = links(rows, last)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    group = ("key", "block", "sub")
-    return majors.unionByName(minors).select(*group, "band", *rest, "minor").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+    spread = lambda df: df.repartition(*_GROUP[:3]).sortWithinPartitions(*_GROUP[:3])
+    form = "key long, block int, sub int, band int, id long, component long, sig binary, minor boolean"
+    near = ws.save(spread(majors.unionByName(minors)).mapInArrow(candidates, form), "candidates")
+    return spread(near.join(sets, "id").select(*near.columns, "elements")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -290,7 +318,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     links = ws.save(_verified(sets, pairs, percent), "links")
     labels = components(ws, links, "first")
     ws.release()
-    more = ws.save(_cross(shared.select("key", "band", "id"), heads.select("id", "sig").join(sets, "id"), labels, percent), "more-links")
+    more = ws.save(_cross(ws, shared.select("key", "band", "id"), heads.select("id", "sig"), sets, labels, percent), "more-links")
     if not more.isEmpty():
         labels = components(ws, links.unionByName(more), "second")
     member = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("component", "id").alias("found"))
