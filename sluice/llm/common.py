@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import time
@@ -9,12 +10,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that an Arrow map holds as Python objects at once.
-SLICE_ROWS = 512
+#: Rows that an Arrow map holds as Python objects at once, and those that Spark sends a worker at once.
+SLICE_ROWS, BATCH_ROWS = 512, 1024
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -31,6 +33,13 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch: texts make the default of 10,000 tens of MB on either side of each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Intermediate tables of one operator call, written in the shared folder.
 
@@ -39,6 +48,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -59,6 +69,7 @@ class Workspace:
 
 
 _caches: dict[str, Callable[[], None]] = {}
+_trimmed: set[tuple[str, int | None]] = set()
 
 
 def claim(name: str, clear: Callable[[], None] | None = None) -> None:
@@ -71,6 +82,20 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
             empty()
     if clear:
         _caches[name] = clear
+    task = TaskContext.get()
+    now = (name, task.taskAttemptId() if task else None)
+    if now not in _trimmed:  # once a task
+        _trimmed.clear()
+        _trimmed.add(now)
+        trim()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system; the allocators keep it otherwise, task after task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -92,6 +117,7 @@ def map_texts(
 
     ``make`` runs once in each task. With ``nulls`` the function also sees null texts as None.
     """
+    small_batches(docs.sparkSession)
     sel = docs.select(F.col(id_col), F.col(text_col))
     schema = T.StructType([sel.schema[0], *[T.StructField(n, t) for n, t in fields]])
     arrow = [_arrow_type(t) for _, t in fields]

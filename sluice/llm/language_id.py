@@ -37,7 +37,9 @@ ORDER, MAX_GRAMS, DISCOUNT = 4, 200_000, 0.75
 #: A text is rejected over mean + REJECT deviations of its length class, at least SLACK nats over the mean.
 REJECT, SLACK = 8.0, 0.6
 #: Distinct words that a task counts, or scores it keeps, before they are emptied.
-HELD = 250_000
+HELD = 150_000
+#: Words whose n-grams are counted or scored at once; a word's n-grams take some 600 bytes in that.
+AT_ONCE = 40_000
 #: Sharpness of the score that is reported.
 SHARP = 12.0
 
@@ -102,8 +104,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     for w in _LETTERS.findall(chunk):
                         words[w] += n
                 keys, weights = list(words), np.fromiter(words.values(), float, len(words))
-                for k, h, c, s, n in count_grams(keys, weights) if keys else []:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (h, c, s)), pa.array(n)], schema=schema)
+                for at in range(0, len(keys), AT_ONCE):
+                    for k, h, c, s, n in count_grams(keys[at : at + AT_ONCE], weights[at : at + AT_ONCE]):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (h, c, s)), pa.array(n)], schema=schema)
             seen.clear()
 
         for batch in slices(batches):
@@ -222,8 +225,8 @@ class Scorer:
         if len(self.place) > HELD or len(self.keys) > HELD:
             self._empty()
         new = list({c for s in split for c in s if c not in self.place})
-        if new:
-            self._learn(new)
+        for at in range(0, len(new), AT_ONCE):
+            self._learn(new[at : at + AT_ONCE])
         place = self.place
         flat = [place[c] for s in split for c in s]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])

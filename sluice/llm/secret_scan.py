@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, map_texts
+from .common import claim, map_texts, small_batches
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -245,6 +245,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding in its text replaced by ``mark``; other columns and rows stay as they are."""
     net = trained()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def clean(text):

@@ -20,7 +20,7 @@ from .common import claim
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = r"[\p{White_Space}]"
 #: Entries of a cache before it is emptied.
-CACHE = 500_000
+CACHE = 200_000
 
 _encoders: dict[str, WordEncoder] = {}
 
