@@ -42,6 +42,8 @@ MARGIN = 0.14
 GROUP = 256
 #: Classes outside the largest component that one group of a bucket holds.
 OUTSIDE = 1024
+#: Bits of the filter of documents whose sets are made.
+MAX_BITS = 1 << 28
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -148,15 +150,42 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sig binary")
 
 
+def _filter(wanted: DataFrame, m: int) -> np.ndarray:
+    """A bitmap of ``m`` bits with the hashed ids of ``wanted`` set, built in parts of 2^15 bits where the ids are."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(m)) + 1
+    out = np.zeros(m // 8, np.uint8)
+    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    for k, bits in parts.collect():  # at most MAX_BITS in all
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, elements (48 bits each, ascending) of the documents whose id is in ``wanted``."""
+    """id, elements (48 bits each, ascending) of the documents whose id is in ``wanted``, and of a few others.
+
+    A bitmap of the wanted ids goes to the texts, so that they don't shuffle; others that it lets through have no
+    partner later. Beyond MAX_BITS / 8 ids, where it would let many through, a join finds the texts instead.
+    """
+    n = wanted.count()
+    m = min(MAX_BITS, max(1 << 15, 1 << (max(1, 32 * n) - 1).bit_length()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sent = None
+    if 8 * n <= MAX_BITS:
+        sent = docs.sparkSession.sparkContext.broadcast(_filter(wanted, m))
+    else:
+        rows = rows.join(wanted, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            if sent is not None:
+                h = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             own = [shingles(t, size) >> np.uint64(16) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in own], pa.binary())], names=["id", "elements"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(run, "id long, elements binary")
+    if sent is not None:
+        rows = rows.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(m)).alias("h"))
+    return rows.mapInArrow(run, "id long, elements binary")
 
 
 def _read(b: bytes) -> np.ndarray:
@@ -312,7 +341,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     buckets = heads.select("id", F.posexplode("bands").alias("band", "key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("b")).where("m > 1").drop("m")
     shared = ws.save(buckets.join(full, "key"), "buckets")
-    sets = ws.save(_sets(docs, shared.select("id").distinct(), size), "sets")
+    sets = ws.save(_sets(docs, ws.save(shared.select("id").distinct(), "wanted"), size), "sets")
     ws.release()
     pairs = ws.save(shared.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
     links = ws.save(_verified(sets, pairs, percent), "links")
