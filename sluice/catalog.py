@@ -397,8 +397,8 @@ _BLOCK = "b AS (SELECT conv_id * 1000 + turn AS id, role || '-' || (conv_id % 20
 @query(f"WITH {_TFIDF}, {_BLOCK}, x AS (SELECT w.*, blk FROM w JOIN b USING (id)) SELECT a.id AS a, c.id AS b, round(sum(a.w * c.w), 4) AS score FROM x a JOIN x c ON a.blk = c.blk AND a.term = c.term AND a.id < c.id GROUP BY 1, 2 HAVING sum(a.w * c.w) >= 0.75")
 def near_duplicates_blocked(spark, d):
     c = table(spark, d, "conversations")
-    blocks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws("-", "role", (F.col("conv_id") % 20).cast("string")).alias("blk"))
-    return vectors.block_pairs(_weights(spark, d), blocks, "id", "blk", 0.75).select("a", "b", F.round("score", 4).alias("score"))
+    blocks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role")
+    return vectors.block_pairs(_weights(spark, d), blocks, "id", "role", 0.75).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 120) WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")

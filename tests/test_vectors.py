@@ -17,3 +17,20 @@ def test_search_has_every_item(spark):
     got = sorted((r["item_id"], r["rank"], r["id"], round(r["score"], 3)) for r in QUERIES["search_topk"](spark, SF).collect())
     assert got == want
     assert {x[0] for x in got} == {r[0] for r in d.execute("SELECT item_id FROM benchmark").fetchall()}
+
+
+def test_duplicates_of_other_conversations(spark, tmp_path):
+    d = duckdb.connect()
+    d.execute(f"""CREATE TABLE conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet' UNION ALL
+        SELECT 100000 + conv_id * 2 + 1, turn, role, regexp_replace(text, '\\w+\\W+', '') FROM '/root/testdata/sf0.01/conversations.parquet' WHERE conv_id < 30""")
+    d.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet'")
+    sql = ORACLE_SQL["near_duplicates_blocked"].replace(" || '-' || (conv_id % 20)", "")
+    assert "%" not in sql
+    want = {(a, b): s for a, b, s in d.execute(sql).fetchall()}
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["near_duplicates_blocked"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    assert len(want) > 30 and any(a // 1000 % 20 != b // 1000 % 20 for a, b in want)
+
+
+def test_role_is_the_whole_block(spark):
+    assert QUERIES["near_duplicates_blocked"](spark, SF).count() == 1
