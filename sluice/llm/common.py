@@ -55,6 +55,15 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def local(self, name: str) -> str | None:
+        """A new folder for files that all processes open, or None where the shared folder isn't in a file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.getUri().getScheme() != "file":
+            return None
+        os.makedirs(out := path.toUri().getPath(), exist_ok=True)
+        return out
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)

@@ -2,11 +2,11 @@
 
 For each language, character n-grams of up to ORDER within words (with a mark for a word's start and
 end) are counted over all rows that may be learned from: each task counts its distinct words and
-then their n-grams, and counts are summed by n-gram. Of each language and order the commonest MAX_GRAMS
-make the model, so it has a size bound; counts are whatever the whole corpus has. An order is stored as a sorted
+then their n-grams, and counts are summed by n-gram. All n-grams make the model. An order is stored as a sorted
 array of 64-bit n-gram hashes beside its counts, and a sorted array of contexts beside their totals and
-numbers of followers. The top order has raw counts, lower ones have continuation counts, and below all is a
-uniform distribution.
+numbers of followers; the arrays are files of the shared folder that workers map, written a range of hashes at a
+time, so neither the driver nor a worker holds the model. (Where the shared folder isn't a file system's, they are held and
+broadcast.) The top order has raw counts, lower ones have continuation counts, and below all is a uniform distribution.
 
 A text is scored over its letters, each word once a task: the language of the lowest cross-entropy a
 character wins. Rejection is calibrated: a text is rejected if its cross-entropy lies far above what training
@@ -19,6 +19,7 @@ Null lang: not learned from. Null id: held out. Rows repeat singly. Ties: the la
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +30,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import Workspace, claim, held_out, slices, texts_of
 
-ORDER, MAX_GRAMS, DISCOUNT = 4, 200_000, 0.75
+ORDER, DISCOUNT = 4, 0.75
+#: Rows of a model that the driver holds at once, about, on their way into the files.
+PIECE = 2_000_000
 #: A text is rejected over mean + REJECT deviations of its length class, at least SLACK nats over the mean.
 REJECT, SLACK = 8.0, 0.6
 #: Distinct words that a task counts, or scores it keeps, before they are emptied.
@@ -124,23 +126,44 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class KneserNey:
-    """One language's model, by order: sorted n-gram hashes and sorted context hashes with what goes with them."""
+    """One language's model, by order: sorted n-gram hashes and sorted context hashes with what goes with them.
 
-    def __init__(self, rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.alphabet = max(2, len(rows.get(1, ((),))[0]) + 1)
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))]
-        self.contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
-        for k in range(1, ORDER + 1):
-            h, c, _, n = rows.get(k, (np.zeros(0, np.uint64),) * 3 + (np.zeros(0),))
-            if k < ORDER and k + 1 in rows:  # how many different characters stand before
-                s, times = np.unique(rows[k + 1][2], return_counts=True)
-                at = np.minimum(np.searchsorted(s, h), max(0, len(s) - 1))
-                before = np.where(s[at] == h, times[at], 0) if len(s) else np.zeros(len(h))
-                n = np.maximum(before, 1).astype(float)  # what opens a word has no character before
-            order = np.argsort(h)
-            self.grams.append((h[order], n[order]))
-            key, inverse = np.unique(c, return_inverse=True)
-            self.contexts.append((key, np.bincount(inverse, n, len(key)), np.bincount(inverse, minlength=len(key)).astype(float)))
+    With a ``folder`` the arrays are its files, mapped at first use; else they are held here.
+    """
+
+    KINDS = {"grams": (np.uint64, np.float64), "contexts": (np.uint64, np.float64, np.float64)}
+
+    def __init__(self, letters: int, folder: str | None = None):
+        self.folder, self.alphabet = folder, max(2, letters + 1)
+        self._held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"_held": {}} if self.folder else {})
+
+    def add(self, kind: str, k: int, columns: tuple[np.ndarray, ...]) -> None:
+        """Append the next range of hashes, sorted."""
+        if self.folder:
+            for i, x in enumerate(columns):
+                with open(f"{self.folder}-{kind}-{k}-{i}", "ab") as out:
+                    x.tofile(out)
+        else:
+            own = self._arrays(kind)
+            own[k] = tuple(np.concatenate(x) for x in zip(own[k], columns, strict=True))
+
+    def _arrays(self, kind: str) -> list[tuple[np.ndarray, ...]]:
+        if kind not in self._held:
+            name = lambda k, i: f"{self.folder}-{kind}-{k}-{i}"
+            there = lambda k, i: self.folder and os.path.exists(name(k, i))
+            self._held[kind] = [tuple(np.asarray(np.memmap(name(k, i), t, "r")) if there(k, i) else np.zeros(0, t) for i, t in enumerate(self.KINDS[kind])) for k in range(ORDER + 1)]
+        return self._held[kind]
+
+    @property
+    def grams(self) -> list[tuple[np.ndarray, ...]]:
+        return self._arrays("grams")
+
+    @property
+    def contexts(self) -> list[tuple[np.ndarray, ...]]:
+        return self._arrays("contexts")
 
     @staticmethod
     def _find(keys: np.ndarray, values: tuple[np.ndarray, ...], h: np.ndarray) -> list[np.ndarray]:
@@ -236,19 +259,31 @@ class Scorer:
         return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
-    """Models of the rows of ``docs`` that aren't held out. The driver gets at most ``max_grams`` n-grams of a language and order."""
+def fit(spark: SparkSession, docs: DataFrame) -> Models:
+    """Models of all n-grams of the rows of ``docs`` that aren't held out."""
     ws = Workspace(spark, "language-models")
     counts = ws.save(gram_counts(docs.where(~held_out("doc_id"))), "counts")
-    # the least count that leaves no more than the bound, from how many n-grams have each count
-    below = Window.partitionBy("lang", "k").orderBy(F.desc("n"))
-    cuts = counts.groupBy("lang", "k", "n").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(below)).where(F.col("upto") <= max_grams).groupBy("lang", "k").agg(F.min("n").alias("least"))
-    found: dict[str, dict[int, list]] = {}
-    rows = counts.join(cuts, ["lang", "k"]).where("n >= least").select("lang", "k", "h", "context", "suffix", "n")
-    for (lang, k), own in rows.toPandas().groupby(["lang", "k"]):
-        found.setdefault(lang, {})[k] = (*(own[c].to_numpy().view(np.uint64) for c in ("h", "context", "suffix")), own["n"].to_numpy(dtype=float))
-    ws.drop()
-    return Models({lang: KneserNey(by) for lang, by in found.items()})
+    # how many different characters stand before; what opens a word has none
+    before = counts.where("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("suffix").alias("h")).agg(F.count(F.lit(1)).alias("before"))
+    top = F.broadcast(counts.groupBy("lang").agg(F.max("k").alias("top")))  # a row a language
+    n = F.when(F.col("k") < F.col("top"), F.coalesce("before", F.lit(1))).otherwise(F.col("n")).cast("double")
+    grams = ws.save(counts.join(before, ["lang", "k", "h"], "left").join(top, "lang").select("lang", "k", "h", "context", n.alias("n")), "grams")
+    contexts = ws.save(grams.groupBy("lang", "k", F.col("context").alias("h")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).cast("double").alias("followers")), "contexts")
+    sizes = {(r["lang"], r["k"]): r["m"] for r in grams.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("m")).collect()}
+    folder = ws.local("models")
+    langs = sorted({lang for lang, _ in sizes})
+    models = {lang: KneserNey(sizes.get((lang, 1), 0), folder and f"{folder}/{i}") for i, lang in enumerate(langs)}
+    bits = max(0, math.ceil(math.log2(max(1, sum(sizes.values())) / PIECE)))
+    for kind, table in (("grams", grams.drop("context")), ("contexts", contexts)):
+        for i in range(1 << bits):  # ranges of hashes, as unsigned numbers
+            part = table.where(F.shiftrightunsigned("h", 64 - bits) == i) if bits else table
+            for (lang, k), own in part.toArrow().to_pandas().groupby(["lang", "k"]):
+                h = own["h"].to_numpy().view(np.uint64)
+                order = np.argsort(h)
+                models[lang].add(kind, k, (h[order], *(own[c].to_numpy(dtype=float)[order] for c in own.columns[3:])))
+    for name in ("counts", "grams", "contexts"):
+        ws.drop(name)
+    return Models(models)
 
 
 def scores(spark: SparkSession, docs: DataFrame, models: Models) -> DataFrame:
