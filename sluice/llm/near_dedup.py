@@ -36,8 +36,8 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
-#: Pairs whose estimate is under the threshold by more than this (four deviations) aren't verified.
-MARGIN = 0.14
+#: Pairs whose estimate is under the threshold by more than this (six deviations) aren't verified; at 0.8 fewer than banding misses.
+MARGIN = 0.21
 #: Members that meet a pivot, or a block of a bucket, in one group.
 GROUP = 256
 #: Classes outside the largest component that one group of a bucket holds.
@@ -118,7 +118,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.bi
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set, bands and a 16-bit signature; no shuffle."""
+    """doc_id, n (set size), digest of the set, bands and sig, a 16-bit signature before the bands' keys; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_dedup", _words.clear)
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 s = superminhash([sets[i] for i in full[at:to]])
                 short = _mix(s).astype(np.uint16)
                 for i, b, x in zip(full[at:to], _bands(s), short, strict=True):
-                    bands[i], sig[i] = b, x.tobytes()
+                    bands[i], sig[i] = b, x.tobytes() + b.tobytes()
                 at = to
             yield pa.RecordBatch.from_arrays(
                 [
@@ -251,14 +251,14 @@ def _near(rows: dict[str, list], band: int, least: float) -> Iterator[tuple[int,
     left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
     if not len(left) or not len(right):
         return
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, PLACES)
+    both = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, 2 * PLACES + 8 * BANDS)
+    sig, keys = (np.ascontiguousarray(x).view(t) for x, t in ((both[:, : 2 * PLACES], np.uint16), (both[:, 2 * PLACES :], np.int64)))
     component = np.array(rows["component"], np.int64)
     for i in left:
-        same = sig[right] == sig[i]
-        agree = same.sum(axis=1)
+        agree = (sig[right] == sig[i]).sum(axis=1)
         near = np.flatnonzero((agree >= least) & (component[right] != component[i]))
-        # a pair is looked at in the first bucket that it shares
-        near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        # a pair is looked at in the first bucket that it shares, by the keys that make the buckets
+        near = near[(keys[right[near]] == keys[i]).argmax(axis=1) == band]
         if len(near):
             yield i, right[near[np.argsort(-agree[near], kind="stable")]]
 
