@@ -2,25 +2,29 @@
 
 The normaliser and the splitter of such a file never join characters over a space, so a text is
 encoded as its space-separated chunks; each distinct chunk is split into pre-tokens, and each
-distinct pre-token goes once through the library's model. Texts that hold a special token's string,
-and files of another make, take the library's whole path.
+distinct pre-token goes once through the library's model. Chunks that hold a character which Python's
+Unicode tables don't know take the library's whole path, as the library's tables may be newer; so do texts that hold
+a special token's string, and files of another make.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 from .common import claim
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPACE = r"[\p{White_Space}]"
-#: Entries of a cache before it is emptied.
-CACHE = 200_000
+#: Entries of the cache's young half; the old half is dropped when the young one is full.
+CACHE = 250_000
+#: Marks that end a chunk and are a pre-token of their own there.
+_TAIL = frozenset(".,;:!?")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -41,6 +45,42 @@ def _byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _unassigned() -> re.Pattern:
+    """Characters without a category in Python's tables, from the tables themselves."""
+    runs, start = [], None
+    for c in range(sys.maxunicode + 2):
+        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if none and start is None:
+            start = c
+        elif not none and start is not None:
+            runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(runs)}]")
+
+
+class Recent(dict):
+    """Results of ``make`` by key. What was asked for lately stays: a full young half becomes the old one."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
@@ -49,21 +89,22 @@ class WordEncoder:
         said = json.loads(self.whole.to_str())
         self.specials = [x["content"] for x in said["added_tokens"]]
         self.fast = self._known(said)
-        self.model, self.alphabet = self.whole.model, _byte_alphabet()
+        self.model, self.alphabet, self.unassigned = self.whole.model, _byte_alphabet(), _unassigned()
         self.pieces = regex.compile(_SPLIT)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # a pre-token that stands as a chunk of its own is split into itself, so one cache serves both
+        self.chunks = Recent(self._chunk)
 
     def forget(self) -> None:
-        self.chunks.clear()
-        self.words.clear()
+        self.chunks.forget()
 
     @staticmethod
     def _known(said: dict) -> bool:
-        norm = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        norm = (said.get("normalizer") or {}).get("normalizers", [])
         pre = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         return (
-            norm == ["NFC", "Replace", "Lowercase"]
+            [x.get("type") for x in norm] == ["NFC", "Replace", "Lowercase"]
+            and norm[1].get("pattern") == {"Regex": r"\s+"}
+            and norm[1].get("content") == " "
             and [x.get("type") for x in pre] == ["Split", "ByteLevel"]
             and pre[0].get("pattern") == {"Regex": _SPLIT}
             and not pre[1].get("use_regex")
@@ -72,21 +113,24 @@ class WordEncoder:
         )
 
     def _slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _pack(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        coded = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
+        return _pack([t.id for t in self.model.tokenize(coded)])
 
     def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for word in self.pieces.findall(chunk):
-            ids = self.words.get(word)
-            if ids is None:
-                coded = word if word.isascii() and word.isprintable() else "".join(self.alphabet[b] for b in word.encode())
-                ids = np.array([t.id for t in self.model.tokenize(coded)], dtype="<u4").tobytes()
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                if len(word) <= 64:
-                    self.words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._word(chunk)
+        elif self.unassigned.search(chunk):
+            return self._slow(chunk)
+        if chunk.isalpha():  # \p{L} is what isalpha() tells
+            return self._word(chunk)
+        if chunk[-1:] in _TAIL and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
+        pieces = self.pieces.findall(chunk)
+        return self._word(chunk) if pieces == [chunk] else b"".join([self.chunks[w] for w in pieces])
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -98,19 +142,11 @@ class WordEncoder:
             text = "".join([c.lower() for c in text]) if "Σ" in text or "İ" in text else text.lower()
         else:
             text = text.lower()
-        chunks, known = text.replace("\n", " ").split(" "), self.chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) >= CACHE:
-            known.clear()
-        out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                if len(c) <= 64:
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _pack(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
