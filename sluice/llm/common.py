@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,40 +21,62 @@ from pyspark.sql import types as T
 SLICE_ROWS, BATCH_ROWS = 512, 1024
 
 
+#: Bits of a filter of keys: what is broadcast with it is at most 32 MB.
+MAX_BITS = 1 << 28
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    It is only set here where the session has none, which is allowed in local mode alone.
+    Only in local mode may the session have none; driver and executors are then one process, and a folder of the machine serves.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/sluice-work/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows in an Arrow batch: texts make the default of 10,000 tens of MB on either side of each task."""
+    """Lower the session's rows in an Arrow batch: texts make the default of 10,000 tens of MB on either side of each task.
+
+    It stays, because a plan that is handed out reads it when it runs.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Workspace:
     """Intermediate tables of one operator call, written in the shared folder.
 
-    A written table cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
+    A written table cuts the lineage: a lost executor costs the tasks it ran, not the stages before. The shuffle files of
+    a write go when it ends, so what an operator holds on disk is its tables and one stage's shuffle.
     """
 
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.made.append(self.root)
         small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def local(self, name: str) -> str | None:
@@ -64,17 +88,62 @@ class Workspace:
         os.makedirs(out := path.toUri().getPath(), exist_ok=True)
         return out
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """Delete these tables, or all with none named."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of stages that are over; it works after the JVM's collection."""
-        for _ in range(3):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that operators of this process wrote, once their results aren't needed any more."""
+    jvm = spark.sparkContext._jvm
+    while Workspace.made:
+        path = jvm.org.apache.hadoop.fs.Path(Workspace.made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def marked(ws: Workspace, docs: DataFrame, key: Column, keys: DataFrame, flag: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with a boolean column: may the 64-bit ``key`` be one of the one column of ``keys``? False is certain.
+
+    A bitmap of 16 bits a key, up to ``max_bits``, is built in parts where the keys are and broadcast, so rows of ``docs`` don't
+    shuffle. A fuller bitmap says yes more often, up to always; callers settle those rows exactly. A null key gets False.
+    """
+    keys = keys.toDF("h").where("h IS NOT NULL")
+    n = keys.count()
+    if not n:
+        return docs.withColumn(flag, F.lit(False))
+    m = min(max_bits, max(1 << 15, 1 << (16 * n - 1).bit_length()))
+    bit = F.pmod(F.col("h"), F.lit(m)) + 1
+    bits = np.zeros(m // 8, np.uint8)
+    parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    for k, part in parts.collect():  # at most max_bits in all
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    sent = ws.spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(T.BooleanType())
+    def test(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return docs.withColumn(flag, F.coalesce(key.isNotNull() & test(F.coalesce(F.pmod(key, F.lit(m)), F.lit(0).cast("long"))), F.lit(False)))
+
+
+def without(ws: Workspace, docs: DataFrame, gone: DataFrame, own: list[Column], max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose values of ``own`` aren't a row of ``gone`` (its columns in that order, nulls equal).
+
+    Rows that the bitmap of gone values of the first column doesn't mark pass straight through with their texts; only marked ones shuffle, in an anti join.
+    """
+    flag = "_marked_" + uuid.uuid4().hex[:8]
+    names = [f"_gone_{i}_{flag}" for i in range(len(own))]
+    gone = gone.toDF(*names)
+    said = marked(ws, docs, F.xxhash64(own[0]), gone.select(F.xxhash64(names[0])), flag, max_bits)
+    same = F.lit(True)
+    for c, name in zip(own, names, strict=True):
+        same = same & c.eqNullSafe(F.col(name))
+    rest = said.where(F.col(flag)).drop(flag).join(gone, same, "left_anti")
+    return said.where(~F.col(flag)).drop(flag).unionByName(rest)
 
 
 _caches: dict[str, Callable[[], None]] = {}

@@ -6,9 +6,9 @@ chunk, where a bit that two tasks set becomes "seen again". Pass two tests each
 are not all in "seen again" is unique for sure and its row passes straight through; only the others,
 and never a text, shuffle to be grouped by their digest.
 
-The filter has 16 bits for each row up to MAX_BITS, so what is broadcast is at most 32 MB for each
-of the two passes. Beyond about 17 million rows a filter that large fills up and lets more unique rows
-into the shuffle; they are narrow rows and the result stays exact.
+The filter has 16 bits for each row up to a stated bound, so what is broadcast is at most 32 MB. Where rows are too
+many for that, the filter fills up and lets more unique rows into the shuffle: narrow rows of id, length and digest, in
+the same grouping that repeated ones take, so every size gives the same rows and no case is dropped.
 
 Hot groups: a group of copies sets the same bits once for each task, and its rows combine in their
 tasks before the shuffle; the join back is a plain join that AQE splits where a key is hot.
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
+from .common import MAX_BITS, Workspace, without
 
-BITS_A_ROW, MAX_BITS, HASHES = 16, 1 << 28, 2
+BITS_A_ROW, HASHES = 16, 2
 #: Bits of a chunk, the unit in which filters are merged.
 CHUNK_BITS = 1 << 16
 
@@ -42,9 +42,9 @@ def normalised(text: str = "text"):
     return F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def filter_bits(rows: int) -> int:
-    """A power of two, at least a chunk and at most MAX_BITS."""
-    return int(min(MAX_BITS, max(CHUNK_BITS, 1 << (max(1, rows * BITS_A_ROW) - 1).bit_length())))
+def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
+    """A power of two, at least a chunk and at most ``max_bits``."""
+    return int(min(max_bits, max(CHUNK_BITS, 1 << (max(1, rows * BITS_A_ROW) - 1).bit_length())))
 
 
 def _bits_of(h: np.ndarray, m: int) -> list[np.ndarray]:
@@ -110,16 +110,17 @@ def with_flag(table: DataFrame, hash_col: str, bits: np.ndarray, m: int, flag: s
     return table.withColumn(flag, test(F.col(hash_col)))
 
 
-def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def exact_groups(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
     ws = Workspace(spark, "exact-dedup")
     digest = F.unhex(F.sha2(normalised().cast("binary"), 256))
     table = ws.save(
         docs.select(F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), digest.alias("digest")), "digests"
     ).withColumn("h", F.xxhash64("digest"))
-    m = filter_bits(table.count())
+    m = filter_bits(table.count(), max_bits)
     maybe = with_flag(table, "h", repeated_filter(table.select("h"), m), m, "maybe")
     maybe = ws.save(maybe.drop("h"), "tested")
+    ws.drop("digests")
     some = maybe.where("maybe")
     # written, so that the join below stands on two plain shuffles, which AQE can split where a group is large
     groups = some.groupBy("digest").agg(
@@ -132,9 +133,9 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return alone.unionByName(own)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay. Only the dropped ids and digests meet the texts, in an anti join."""
+def drop_copies(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay. Only rows whose id may be a dropped one's are hashed again and shuffle."""
     ws = Workspace(spark, "exact-dedup-dropped")
-    gone = ws.save(exact_groups(spark, docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")), "dropped")
-    own = F.unhex(F.sha2(normalised().cast("binary"), 256))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (own == gone["_digest"]), "left_anti")
+    gone = ws.save(exact_groups(spark, docs, max_bits).where("NOT kept").select(F.col("doc_id"), F.unhex("text_sha256").alias("digest")).distinct(), "dropped")
+    flag = F.unhex(F.sha2(normalised().cast("binary"), 256))
+    return without(ws, docs, gone, [F.col("doc_id"), flag], max_bits)

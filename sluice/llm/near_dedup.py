@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, claim, slices, texts_of
+from .common import MAX_BITS, Workspace, claim, marked, slices, texts_of, without
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -42,8 +42,6 @@ MARGIN = 0.21
 GROUP = 256
 #: Classes outside the largest component that one group of a bucket holds.
 OUTSIDE = 1024
-#: Bits of the filter of documents whose sets are made.
-MAX_BITS = 1 << 28
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -114,16 +112,16 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set, bands and sig, a 16-bit signature before the bands' keys; no shuffle."""
+    """doc_id, text_hash, n (set size), digest of the set, bands and sig, a 16-bit signature before the bands' keys; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_dedup", _words.clear)
         for batch in slices(batches, 128):
-            sets = [shingles(t, size) for t in texts_of(batch.column(1))]
+            sets = [shingles(t, size) for t in texts_of(batch.column(2))]
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             sig: list = [None] * len(sets)
@@ -140,58 +138,35 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 at = to
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()),
                 ],
                 schema=_SIGNED,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, bands array<long>, sig binary")
 
 
-def _filter(wanted: DataFrame, m: int) -> np.ndarray:
-    """A bitmap of ``m`` bits with the hashed ids of ``wanted`` set, built in parts of 2^15 bits where the ids are."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(m)) + 1
-    out = np.zeros(m // 8, np.uint8)
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    for k, bits in parts.collect():  # at most MAX_BITS in all
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, elements (48 bits each, ascending) of the documents whose id is in ``wanted``, and of a few others.
+def _sets(ws: Workspace, docs: DataFrame, wanted: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """id, elements (64 bits each, ascending) of the documents whose id is in ``wanted``, and of a few others.
 
     A bitmap of the wanted ids goes to the texts, so that they don't shuffle; others that it lets through have no
-    partner later. Beyond MAX_BITS / 8 ids, where it would let many through, a join finds the texts instead.
+    partner later, so a full bitmap costs time and space only.
     """
-    n = wanted.count()
-    m = min(MAX_BITS, max(1 << 15, 1 << (max(1, 32 * n) - 1).bit_length()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sent = None
-    if 8 * n <= MAX_BITS:
-        sent = docs.sparkSession.sparkContext.broadcast(_filter(wanted, m))
-    else:
-        rows = rows.join(wanted, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+    rows = marked(ws, rows, F.xxhash64("id"), wanted.select(F.xxhash64("id")), "wanted", max_bits).where("wanted").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            if sent is not None:
-                h = batch.column(2).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array((sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
-            own = [shingles(t, size) >> np.uint64(16) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in own], pa.binary())], names=["id", "elements"])
-
-    if sent is not None:
-        rows = rows.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(m)).alias("h"))
+            own = [shingles(t, size).astype("<u8").tobytes() for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "elements"])
+
     return rows.mapInArrow(run, "id long, elements binary")
 
 
 def _read(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.reshape(-1).view("<u8")
+    return np.frombuffer(b, "<u8")
 
 
 def _linked(s: np.ndarray, c: np.ndarray, percent: int) -> bool:
@@ -331,34 +306,39 @@ def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame,
     return spread(near.join(sets, "id").select(*near.columns, "elements")).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
-    ws = Workspace(spark, "near-dedup")
+def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_bits: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for each row of ``docs``."""
     signed = ws.save(signatures(docs, size), "signed")
-    classes = ws.save(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    rows = ws.save(signed.select("doc_id", "text_hash", "n", "digest"), "rows")
+    classes = ws.save(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     # a class is known by its smallest document; of repeated rows of it one is enough
     heads = ws.save(signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id", "sig"]), "heads")
+    ws.drop("signed")
     buckets = heads.select("id", F.posexplode("bands").alias("band", "key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("b")).where("m > 1").drop("m")
     shared = ws.save(buckets.join(full, "key"), "buckets")
-    sets = ws.save(_sets(docs, ws.save(shared.select("id").distinct(), "wanted"), size), "sets")
-    ws.release()
+    sets = ws.save(_sets(ws, docs, ws.save(shared.select("id").distinct(), "wanted"), size, max_bits), "sets")
     pairs = ws.save(shared.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
     links = ws.save(_verified(sets, pairs, percent), "links")
     labels = components(ws, links, "first")
-    ws.release()
     more = ws.save(_cross(ws, shared.select("key", "band", "id"), heads.select("id", "sig"), sets, labels, percent), "more-links")
     if not more.isEmpty():
         labels = components(ws, links.unionByName(more), "second")
+    ws.drop("heads", "buckets", "wanted", "sets", "pairs", "links", "more-links", "candidates")
     member = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("component", "id").alias("found"))
     component = F.coalesce("found", "doc_id")
-    return signed.select("doc_id", "n", "digest").join(member, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return rows.join(member, "digest", "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
-def keep_heads(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are their component's document; an anti join with the ids of the others."""
+def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    return _components(Workspace(spark, "near-dedup"), docs, size, percent, max_bits).drop("text_hash")
+
+
+def keep_heads(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are their component's document. Only rows whose id may be a dropped one's shuffle."""
     ws = Workspace(spark, "near-dedup-dropped")
-    gone = ws.save(near_groups(spark, docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = ws.save(_components(ws, docs, size, percent, max_bits).where("NOT kept").select("doc_id", "text_hash").distinct(), "dropped")
+    return without(ws, docs, gone, [F.col("doc_id").cast("long"), F.xxhash64("text")], max_bits)

@@ -264,9 +264,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
 
     by_block = table.groupBy("block")
     reply = ws.save(by_block.applyInPandas(entries_a, _ENTRY).groupBy("bucket").applyInPandas(answer_a, _REPLY), "samples")
-    ws.release()
     more = ws.save(by_block.cogroup(reply.groupBy("block")).applyInPandas(entries_b, _ENTRY).groupBy("bucket").applyInPandas(answer_b, _REPLY), "starts")
-    ws.release()
     return by_block.cogroup(reply.unionByName(more).groupBy("block")).applyInPandas(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
