@@ -4,7 +4,7 @@ A bounded sample of labelled rows (MAX_LABELLED, those of the smallest hash of t
 a lexicon of words and word beginnings that are far commoner in toxic than in clean documents, then
 trees on logistic loss over features of whole texts (lexicon densities, closeness of second-person
 words to lexicon words, capitals, punctuation and obfuscation rates), then isotonic regression
-of out-of-fold scores. The model has a fixed size bound and goes to the tasks with the function; documents
+of out-of-fold scores, whose lexicon and trees both come from the other folds. The model has a fixed size bound and goes to the tasks with the function; documents
 are scored in one pass without a shuffle.
 
 Null text: scored as empty; empty texts get the score of their features, all 0. Null label, or null id: not
@@ -30,6 +30,8 @@ from .common import Workspace, held_out, map_texts, slices, texts_of
 MAX_LABELLED = 20_000
 #: Lexicon entries at most, documents that an entry needs, and how many times commoner it must be.
 MAX_LEXICON, LEAST_DOCS, LEAST_RATIO = 2_000, 5, 8.0
+#: Parts of the labelled rows that are scored in turn by a model of the others, for the calibration.
+FOLDS = 5
 #: Lengths of the word beginnings that may be entries; words from NEAR words away count as near.
 STEMS, NEAR = (4, 5), 6
 
@@ -63,29 +65,34 @@ class Lexicon(dict):
         return w
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
+def features(text: str, lexicons: list[Lexicon]) -> list[list[float]]:
+    """The features of a text by each lexicon; what doesn't depend on one is made once."""
     lower = text.lower()
     words = WORDS.findall(lower)
     n, chars = max(1, len(words)), max(1, len(text))
-    weights = [lexicon[w] for w in words]
-    at = [i for i, w in enumerate(weights) if w]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = 0
-    if at and you:
-        y = np.array(you)
-        k = np.searchsorted(y, at)
-        left = np.array(at) - y[np.maximum(k - 1, 0)]
-        right = y[np.minimum(k, len(y) - 1)] - np.array(at)
-        near = int((np.minimum(np.abs(left), np.abs(right)) <= NEAR).sum())
-    hits = [weights[i] for i in at]
+    you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
     exclaims, questions = text.count("!"), text.count("?")
-    return [
-        math.log1p(len(at)), len(at) / n, len({words[i] for i in at}), max(hits, default=0.0), math.log1p(sum(hits)), 1 - at[0] / n if at else 0.0,
-        sum(b - a <= 3 for a, b in zip(at, at[1:], strict=False)) / n, len(you) / n, near, near / n,
+    rest = [
         sum(map(str.isupper, text)) / chars if not lower == text else 0.0, len(_CAPS.findall(text)) / n, exclaims / n, questions / n,
         len(_MARKS.findall(text)) / n if exclaims + questions > 1 else 0.0, sum(map(text.count, ".,;:!?")) / chars, sum(map(text.count, "0123456789")) / chars,
         len(_HIDDEN.findall(text)) / n, len(_DRAWN.findall(lower)) / n, math.log1p(len(words)), len(lower) / n if words else 0.0, len(set(words)) / n,
     ]
+    out = []
+    for lexicon in lexicons:
+        weights = [lexicon[w] for w in words]
+        at = [i for i, w in enumerate(weights) if w]
+        near = 0
+        if at and len(you):
+            k = np.searchsorted(you, at)
+            left = np.array(at) - you[np.maximum(k - 1, 0)]
+            right = you[np.minimum(k, len(you) - 1)] - np.array(at)
+            near = int((np.minimum(np.abs(left), np.abs(right)) <= NEAR).sum())
+        hits = [weights[i] for i in at]
+        out.append([
+            math.log1p(len(at)), len(at) / n, len({words[i] for i in at}), max(hits, default=0.0), math.log1p(sum(hits)), 1 - at[0] / n if at else 0.0,
+            sum(b - a <= 3 for a, b in zip(at, at[1:], strict=False)) / n, len(you) / n, near, near / n, *rest,
+        ])
+    return out
 
 
 # ---- trees
@@ -167,18 +174,24 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration."""
+    """Lexicon, trees and calibration.
 
-    def __init__(self, entries: dict[str, float], x: np.ndarray, y: np.ndarray, folds: int = 5):
+    ``x`` holds a row's features by the lexicon of each fold's other rows, then by the lexicon of all rows; ``fold`` is the row's
+    fold. So neither the lexicon nor the trees that score a row for the calibration have seen it.
+    """
+
+    def __init__(self, entries: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.entries, self.prior, self.trees = entries, float(y.mean()) if len(y) else 0.0, None
+        folds = x.shape[1] - 1
         if len(y) < 2 * folds or not 0 < self.prior < 1:
             return
-        out, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+        out = np.zeros(len(y))
         for k in range(folds):
-            if len(np.unique(y[fold != k])) > 1:
-                out[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
+            own = fold == k
+            if own.any() and len(np.unique(y[~own])) > 1:
+                out[own] = Boosted().fit(x[~own, k], y[~own]).raw(x[own, k])
         self.knots = isotonic(out, y)
-        self.trees = Boosted().fit(x, y)
+        self.trees = Boosted().fit(x[:, -1], y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -193,21 +206,34 @@ class Model:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    """Documents that hold each possible lexicon entry, by label: entry, toxic, clean. Counted in the task first."""
+    """Documents that hold each possible lexicon entry, by fold and label: entry, fold, toxic, clean. Counted in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[int, tuple[Counter, Counter]] = {}
         for batch in slices(batches):
-            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for text, y, k in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = set(WORDS.findall(text.lower()))
-                seen[y].update({w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k})
-        # what no toxic document here holds can be an entry elsewhere, so clean counts go too
-        keys = list(seen[1] | seen[0])
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            yield pa.RecordBatch.from_pydict({"entry": part, "toxic": [seen[1][k] for k in part], "clean": [seen[0][k] for k in part]})
-
-    return docs.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                seen.setdefault(k, (Counter(), Counter()))[y].update({w + "$" for w in words} | {w[:j] for w in words for j in STEMS if len(w) >= j})
+        for k, (clean, toxic) in seen.items():
+            # what no toxic document here holds can be an entry elsewhere, so clean counts go too
+            keys = list(toxic | clean)
+            for at in range(0, len(keys), 20_000):
+                part = keys[at : at + 20_000]
+                yield pa.RecordBatch.from_pydict({"entry": part, "fold": pa.array([k] * len(part), pa.int32()), "toxic": [toxic[x] for x in part], "clean": [clean[x] for x in part]})
+
+    return docs.select("text", "toxic", "fold").mapInArrow(run, "entry string, fold int, toxic long, clean long").groupBy("entry", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _lexicon(counts: DataFrame, total: dict[tuple[int, int], int], without: int | None) -> dict[str, float]:
+    """Entries and their weights, from the rows outside the fold ``without``; at most MAX_LEXICON."""
+    n = lambda y: sum(m for (k, label), m in total.items() if label == y and k != without)
+    if without is not None:
+        counts = counts.where(F.col("fold") != without)
+    c = counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # two deviations less than counted, so that chance makes no entries
+    ratio = ((F.col("toxic") - 2 * F.sqrt("toxic") + 0.5) / (n(1) + 1)) / ((F.col("clean") + 0.5) / (n(0) + 1))
+    found = c.where(F.col("toxic") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    return {r["entry"]: math.log(r["ratio"]) for r in found.orderBy(F.desc("ratio"), F.desc("toxic"), "entry").limit(MAX_LEXICON).collect()}
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -219,31 +245,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(max_labelled)
     )
-    known = ws.save(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled")
-    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    a, b = total.get(1, 0), total.get(0, 0)
-    # two deviations less than counted, so that chance makes no entries
-    ratio = ((F.col("toxic") - 2 * F.sqrt("toxic") + 0.5) / (a + 1)) / ((F.col("clean") + 0.5) / (b + 1))
-    found = _entries(known).where(F.col("toxic") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    entries = {r["entry"]: math.log(r["ratio"]) for r in found.orderBy(F.desc("ratio"), F.desc("toxic"), "entry").limit(MAX_LEXICON).collect()}
+    # by the text, so that copies stand in one fold
+    known = ws.save(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(FOLDS)).cast("int")), "labelled")
+    total = {(r[0], r[1]): r[2] for r in known.groupBy("fold", "toxic").count().collect()}
+    counts = ws.save(_entries(known), "entries")
+    lexicons = [_lexicon(counts, total, k) for k in (*range(FOLDS), None)]
 
     def make():
-        lexicon = Lexicon(entries)
-        return lambda texts: [[features(t, lexicon) for t in texts]]
+        own = [Lexicon(x) for x in lexicons]
+        return lambda texts: [[[v for part in features(t, own) for v in part] for t in texts]]
 
-    rows = map_texts(known.select(F.struct("doc_id", "toxic").alias("doc_id"), "text"), make, [("x", T.ArrayType(T.DoubleType()))]).collect()
-    rows.sort(key=lambda r: (r[0][0], r[0][1]))
+    rows = map_texts(known.select(F.struct("doc_id", "toxic", "fold").alias("doc_id"), "text"), make, [("x", T.ArrayType(T.DoubleType()))]).collect()
+    rows.sort(key=lambda r: (r[0][0], r[0][1], r[1]))
     ws.drop()
-    x = np.array([r[1] for r in rows], dtype=float).reshape(-1, len(FEATURES))
-    return Model(entries, x, np.array([r[0][1] for r in rows], dtype=float))
+    x = np.array([r[1] for r in rows], dtype=float).reshape(-1, FOLDS + 1, len(FEATURES))
+    return Model(lexicons[-1], x, np.array([r[0][1] for r in rows], dtype=float), np.array([r[0][2] for r in rows], dtype=int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row of ``docs``."""
 
     def make():
-        lexicon = Lexicon(model.entries)
-        return lambda texts: [model.score(np.array([features(t, lexicon) for t in texts], dtype=float).reshape(-1, len(FEATURES))).tolist()]
+        lexicon = [Lexicon(model.entries)]
+        return lambda texts: [model.score(np.array([features(t, lexicon)[0] for t in texts], dtype=float).reshape(-1, len(FEATURES))).tolist()]
 
     return map_texts(docs, make, [("score", T.DoubleType())])
 
