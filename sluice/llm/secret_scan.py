@@ -1,11 +1,12 @@
 """Operator 5: secret scanning, rules plus a character convolutional network in numpy.
 
 Three rules find base spans (assign, access, hex). Every candidate, base spans and other long runs of the
-alphabet of keys, goes with its surroundings through the network: characters are classed and embedded,
+alphabet of keys (dots inside too, with digits or without), goes with its surroundings through the network: characters are classed and embedded,
 convolved, pooled over the window, and scored; a long candidate is covered by overlapping windows and
 gets the highest score. The network is trained on labelled findings that a seeded generator makes
 (TRAIN_FINDINGS of them); a held-out part calibrates its probability (Platt) and sets the highest threshold
-that keeps LEAST_RECALL of the secrets. Candidates over the threshold that no base span overlaps are added as ``model``.
+that keeps LEAST_RECALL of the secrets. Candidates over the threshold are added as ``model`` where they lie outside the base spans or reach
+beyond them, so a key of which a rule has only a part is found whole.
 
 Null and empty texts: no spans. Positions are code points. One pass without a shuffle; repeated rows are scanned one by one.
 """
@@ -27,9 +28,11 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A candidate beside the base spans: a whole run of the alphabet of keys, with a digit and a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate beside the base spans: a whole run of the alphabet of keys, dots inside it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9+/_=-])")
 _LETTER = re.compile(r"[A-Za-z]")
+#: Words of prose: letters in one case, or a capital and small letters, joined by hyphens or dots at most; no key looks so.
+_PROSE = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-.=_/]+(?:[A-Z]?[a-z]+|[A-Z]+))*[-.=_/]*")
 
 #: Characters before and after a candidate in its window; its own characters in a window; the step between windows.
 BEFORE, AFTER, OWN, STEP = 20, 4, 48, 24
@@ -50,13 +53,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of candidates that no base span overlaps."""
+    """(start, end) of candidates that no base span covers, plain words aside."""
     out, k = [], 0
-    ends = sorted((s, e) for s, _, e in base)
+    ends = sorted((e, s) for s, _, e in base)
     for m in CANDIDATE.finditer(text):
-        while k < len(ends) and ends[k][1] <= m.start():
+        if _PROSE.fullmatch(m[0]) or not _LETTER.search(m[0]):
+            continue
+        while k < len(ends) and ends[k][0] <= m.start():
             k += 1
-        if not any(s < m.end() and e > m.start() for s, e in ends[k : k + 4]) and _LETTER.search(m[0]):
+        if not any(s <= m.start() and e >= m.end() for e, s in ends[k : k + 4]):
             out.append(m.span())
     return out
 
@@ -155,9 +160,13 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     secret = [
         lambda: ("", pick(hexa, size(16, 64))), lambda: ("", "AKIA" + pick(upper + digits, size(14, 20))), lambda: (pick(["token", "password", "api_key", "secret", "apikey"], 1) + pick([" = ", ": ", "=", " : \""], 1), pick(b64, size(16, 48))),
         lambda: ("", "ghp_" + pick(lower + upper + digits, 36)), lambda: ("", "sk-" + pick(lower + upper + digits, size(24, 48))), lambda: ("", "xoxb-" + num(11) + "-" + pick(lower + upper + digits, 24)),
-        lambda: ("", "eyJ" + pick(b64[:62], size(30, 90))), lambda: (pick(["Authorization: Bearer ", "auth ", "key "], 1), pick(b64, size(24, 64))), lambda: ("", "AIza" + pick(lower + upper + digits + "_-", 35)),
+        lambda: ("", "eyJ" + pick(b64[:62], size(30, 90))), lambda: ("", "eyJ" + pick(b64[:62], size(16, 40)) + ".eyJ" + pick(b64[:62], size(20, 60)) + "." + pick(b64[:62] + "_-", 43)), lambda: ("", pick(lower + upper, size(20, 44))), lambda: ("", pick(b64, 64)), lambda: (pick(["Authorization: Bearer ", "auth ", "key "], 1), pick(b64, size(24, 64))), lambda: ("", "AIza" + pick(lower + upper + digits + "_-", 35)),
     ]
+    cap = lambda: word().capitalize()
+    consonants = lambda k: pick("bcdfghklmnprst", k)
     clean = [
+        lambda: (consonants(size(4, 8)) + "." + num(2) + "@", word() + num(1) + "." + word() + "." + pick(["com", "org", "net"], 1)), lambda: (word() + "@", word() + num(size(1, 3)) + ".example." + pick(["com", "org"], 1)), lambda: ("", consonants(size(4, 8)) + "." + num(2) + "-" + word() + "." + word()),
+        lambda: ("", ".".join([word(), word(), word() + num(1), pick(["com", "org", "io"], 1)])), lambda: ("", cap() + cap() + cap() + word()), lambda: ("", word() + cap() + cap() + num(size(1, 3))), lambda: ("", "v" + num(1) + "." + num(2) + "." + num(1) + "-" + word() + "." + num(3)),
         lambda: ("", num(size(16, 20))), lambda: ("", word() + "-" + word() + "-" + word() + num(size(1, 4))), lambda: (word() + num(2) + "@", "mail" + num(1) + "-example-" + word()), lambda: ("https://", word() + num(size(1, 3)) + "/" + word() + "/" + word() + "/" + num(4)),
         lambda: ("", "20" + num(2) + "-" + num(2) + "-" + num(2) + "-" + word() + "-" + word()), lambda: ("", word() + word() + word() + word() + num(size(1, 3))), lambda: ("", "_".join([word(), word(), word(), num(2)])), lambda: ("", "-" * size(16, 30) + num(1) + word()),
         lambda: ("", "=" * size(16, 40) + word() + num(1)), lambda: ("/", "/".join([word(), word(), word() + num(1), word()])), lambda: ("", word().upper() + word().upper() + word().upper() + "-" + num(size(2, 6))), lambda: ("", "+" + num(2) + "-" + num(3) + "-" + num(3) + "-" + num(4) + word()), lambda: ("", num(1) + word() + word() + word() + word() + word()),
