@@ -116,7 +116,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, n (set size), digest of the set, bands and sig, a 16-bit signature before the bands' keys; no shuffle."""
+    """doc_id, text_hash, n (set size), digest of the set, bands and sig: a 16-bit signature, the bands' keys and n; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_dedup", _words.clear)
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 s = superminhash([sets[i] for i in full[at:to]])
                 short = _mix(s).astype(np.uint16)
                 for i, b, x in zip(full[at:to], _bands(s), short, strict=True):
-                    bands[i], sig[i] = b, x.tobytes() + b.tobytes()
+                    bands[i], sig[i] = b, x.tobytes() + b.tobytes() + np.int64(len(sets[i])).tobytes()
                 at = to
             yield pa.RecordBatch.from_arrays(
                 [
@@ -220,18 +220,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[st
         yield now, rows
 
 
-def _near(rows: dict[str, list], band: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row outside the largest component, and the rows of other components whose signatures are near, nearest first."""
+def _near(rows: dict[str, list], band: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row outside the largest component, and the rows of other components whose signatures are near, nearest first.
+
+    Sets whose sizes alone rule a link out aren't near.
+    """
     minor = np.array(rows["minor"], bool)
     left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
     if not len(left) or not len(right):
         return
-    both = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, 2 * PLACES + 8 * BANDS)
-    sig, keys = (np.ascontiguousarray(x).view(t) for x, t in ((both[:, : 2 * PLACES], np.uint16), (both[:, 2 * PLACES :], np.int64)))
+    both = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, 2 * PLACES + 8 * BANDS + 8)
+    sig, keys, size = (np.ascontiguousarray(x).view(t) for x, t in ((both[:, : 2 * PLACES], np.uint16), (both[:, 2 * PLACES : -8], np.int64), (both[:, -8:], np.int64)))
+    size = size[:, 0]
     component = np.array(rows["component"], np.int64)
     for i in left:
         agree = (sig[right] == sig[i]).sum(axis=1)
-        near = np.flatnonzero((agree >= least) & (component[right] != component[i]))
+        low, high = np.minimum(size[right], size[i]), np.maximum(size[right], size[i])
+        near = np.flatnonzero((agree >= least) & (component[right] != component[i]) & (100 * low >= percent * high))
         # a pair is looked at in the first bucket that it shares, by the keys that make the buckets
         near = near[(keys[right[near]] == keys[i]).argmax(axis=1) == band]
         if len(near):
@@ -266,7 +271,7 @@ def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame,
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _grouped(batches):
             use: set[int] = set()
-            for i, near in _near(rows, group[3], least):
+            for i, near in _near(rows, group[3], least, percent):
                 use.add(int(i))
                 use.update(near.tolist())
             if use:
@@ -286,7 +291,7 @@ def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame,
 
             parsed: dict[int, np.ndarray] = {}
             found = []
-            for i, near in _near(rows, group[3], least):
+            for i, near in _near(rows, group[3], least, percent):
                 for j in near:
                     a, b = find(component[i]), find(component[j])
                     if a == b:
@@ -312,13 +317,14 @@ def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_bit
     rows = ws.save(signed.select("doc_id", "text_hash", "n", "digest"), "rows")
     classes = ws.save(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     # a class is known by its smallest document; of repeated rows of it one is enough
-    heads = ws.save(signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id", "sig"]), "heads")
+    heads = ws.save(signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id", "sig"]), "heads")
     ws.drop("signed")
-    buckets = heads.select("id", F.posexplode("bands").alias("band", "key"))
-    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("b")).where("m > 1").drop("m")
+    buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("b")).where("m > 1").select("key", F.col("b.id").alias("b"), F.col("b.n").alias("bn"))
     shared = ws.save(buckets.join(full, "key"), "buckets")
     sets = ws.save(_sets(ws, docs, ws.save(shared.select("id").distinct(), "wanted"), size, max_bits), "sets")
-    pairs = ws.save(shared.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    # sizes that rule a link out need no sets
+    pairs = ws.save(shared.where(F.col("id") != F.col("b")).where(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")).select(F.col("id").alias("a"), "b").distinct(), "pairs")
     links = ws.save(_verified(sets, pairs, percent), "links")
     labels = components(ws, links, "first")
     more = ws.save(_cross(ws, shared.select("key", "band", "id"), heads.select("id", "sig"), sets, labels, percent), "more-links")

@@ -18,6 +18,13 @@ def test_chance_match_in_an_earlier_band():
     sig = np.arange(N.PLACES, dtype=np.uint16)
     keys = np.arange(2 * N.BANDS, dtype=np.int64).reshape(2, -1)
     keys[1, 1] = keys[0, 1]
-    rows = {"id": [1, 2], "component": [1, 2], "minor": [True, False], "sig": [sig.tobytes() + k.tobytes() for k in keys]}
-    assert [(i, near.tolist()) for i, near in N._near(rows, 1, 80)] == [(0, [1])]
-    assert not list(N._near(rows, 0, 80))
+    rows = {"id": [1, 2], "component": [1, 2], "minor": [True, False], "sig": [sig.tobytes() + k.tobytes() + np.int64(100).tobytes() for k in keys]}
+    assert [(i, near.tolist()) for i, near in N._near(rows, 1, 80, 80)] == [(0, [1])]
+    assert not list(N._near(rows, 0, 80, 80))
+
+
+def test_sizes_that_rule_a_link_out():
+    sig, keys = np.arange(N.PLACES, dtype=np.uint16), np.arange(N.BANDS, dtype=np.int64)
+    for sizes, met in (((80, 100), True), ((79, 100), False)):
+        rows = {"id": [1, 2], "component": [1, 2], "minor": [True, False], "sig": [sig.tobytes() + keys.tobytes() + np.int64(n).tobytes() for n in sizes]}
+        assert bool(list(N._near(rows, 0, 80, 80))) == met
