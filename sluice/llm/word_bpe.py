@@ -22,7 +22,7 @@ from .common import claim
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of the cache's young half; the old half is dropped when the young one is full.
-CACHE = 250_000
+CACHE = 100_000
 #: Marks that end a chunk and are a pre-token of their own there.
 _TAIL = frozenset(".,;:!?")
 
