@@ -7,8 +7,8 @@ large period v and one level of names is enough:
    ``length`` bytes are equal, some shift below v brings both starts to sampled places, and the
    length - v + 1 bytes from there are equal. Windows of that size are named by hash and sorted in buckets;
    equal neighbours are repeated. This leaves the starts that can be repeated at all.
-2. Remaining suffixes: the starts up to v - 1 before a repeated sampled place are named by 80 bits and the bucket of their
-   ``length`` bytes and sorted in buckets; equal neighbours are repeated starts, in any document or the same.
+2. Remaining suffixes: the starts up to v - 1 before a repeated sampled place are named by 80 bits and the bucket (whose bits grow
+   with the data; 128 bits inside a block) of their ``length`` bytes and sorted in buckets; equal neighbours are repeated starts, in any document or the same.
 3. Each document drops the bytes that repeated starts cover, judged on the input.
 
 Documents are dealt to blocks by id. Within a block equal names are sent once, and of documents
@@ -50,6 +50,8 @@ _RNG = np.random.default_rng(0x5EED)
 _TABLES = [_RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1) for _ in range(2)]
 _BASES = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03]
 _M = np.uint64(0xBF58476D1CE4E5B9)
+#: 128 bits of a whole text.
+_DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -113,7 +115,7 @@ class BlockOfDocs:
     def copies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For documents of at least ``length`` bytes: distinct digests with their bucket, which one each has (-1: none), recurring, and the first of each."""
         long = np.flatnonzero(self.ends - self.starts >= self.length)
-        d = np.array([int.from_bytes(self.shas[i][:8], "little") for i in long], np.uint64)
+        d = np.frombuffer(b"".join(self.shas[i] for i in long), _DIGEST)
         keys, first, inverse, n = np.unique(d, return_index=True, return_inverse=True, return_counts=True)
         which = np.full(len(self.texts), -1, np.int64)
         which[long] = inverse
@@ -136,6 +138,8 @@ class BlockOfDocs:
         h, g = (window_hash(self.data, at, self.length, k) for k in (0, 1))
         h = h ^ np.uint64(self.length)
         _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        if (g[first][inverse] != g).any():  # 64 bits collide here: the names are the pairs
+            _, first, inverse, n = np.unique(np.rec.fromarrays([h, g]), return_index=True, return_inverse=True, return_counts=True)
         h, g = h[first], g[first]
         bucket = ((g >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -186,7 +190,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
         _, keys, _, here = b.samples()
         cut, rest = _cuts(keys >> np.uint64(32), buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         d, _, twice, _ = b.copies()
-        dealt = (d % np.uint64(buckets)).astype(np.int64)
+        dealt = (d["a"] % np.uint64(buckets)).astype(np.int64)
         rows = []
         for k in range(buckets):
             own, mine = slice(cut[k], cut[k + 1]), dealt == k
@@ -200,8 +204,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
         at = np.cumsum([0, *map(len, names)])
         twice = _equal_neighbours(np.concatenate(names))
         digests = [_split_docs(x) for x in pdf["docs"]]
-        all_ = np.concatenate([x for x, _ in digests]) if digests else np.zeros(0, np.uint64)
-        again, first = _equal_neighbours(all_), np.zeros(len(all_), bool)
+        all_ = np.concatenate([x for x, _ in digests]) if digests else np.zeros(0, _DIGEST)
+        again, first = _equal_neighbours(all_["a"], all_["b"]), np.zeros(len(all_), bool)
         first[np.unique(all_, return_index=True)[1]] = True  # blocks are in order
         to = np.cumsum([0, *(len(x) for x, _ in digests)])
         rows = []
@@ -216,7 +220,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
         got = {r.bucket: r for r in reply[reply["step"] == 0].itertuples()}
         cut = _cuts(keys >> np.uint64(32), buckets)
         d, which, _, first_here = b.copies()
-        dealt = (d % np.uint64(buckets)).astype(np.int64)
+        dealt = (d["a"] % np.uint64(buckets)).astype(np.int64)
         twice, copied, first = np.zeros(len(keys), bool), np.zeros(len(d), bool), np.zeros(len(d), bool)
         for k, r in got.items():
             twice[cut[k] : cut[k + 1]] = _unbits(r.bits, cut[k + 1] - cut[k])
@@ -269,8 +273,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400) -> D
 
 
 def _split_docs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and recurrence bits of n documents from 8 * n + ceil(n / 8) bytes."""
-    n = len(raw) * 8 // 65
-    while 8 * n + -(-n // 8) < len(raw):
+    """Digests and recurrence bits of n documents from 16 * n + ceil(n / 8) bytes."""
+    n = len(raw) * 8 // 129
+    while 16 * n + -(-n // 8) < len(raw):
         n += 1
-    return np.frombuffer(raw, np.uint64, n), _unbits(raw[8 * n :], n)
+    return np.frombuffer(raw, _DIGEST, n), _unbits(raw[16 * n :], n)
