@@ -136,11 +136,11 @@ def keyed_last_write(spark, d):
 
 
 @query("""SELECT coalesce(b.k, s.k) AS k, coalesce(b.name, s.name) AS name, s.bal AS bal, b.k IS NOT NULL AS enabled FROM
-    (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0) b FULL JOIN (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier WHERE s_suppkey % 2 = 0) s ON b.k = s.k""")
+    (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_nationkey <= 16) b FULL JOIN (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier WHERE s_nationkey >= 8) s ON b.k = s.k""")
 def registration_upsert(spark, d):
     s = table(spark, d, "supplier")
-    b = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("bk"), F.col("s_name").alias("bn"))
-    old = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("sk"), F.col("s_name").alias("sn"), F.col("s_acctbal").alias("bal"))
+    b = s.where("s_nationkey <= 16").select(F.col("s_suppkey").alias("bk"), F.col("s_name").alias("bn"))
+    old = s.where("s_nationkey >= 8").select(F.col("s_suppkey").alias("sk"), F.col("s_name").alias("sn"), F.col("s_acctbal").alias("bal"))
     return b.join(old, F.col("bk") == F.col("sk"), "full").select(F.coalesce("bk", "sk").alias("k"), F.coalesce("bn", "sn").alias("name"), "bal", F.col("bk").isNotNull().alias("enabled"))
 
 
@@ -283,14 +283,15 @@ def batch_dedupe_best(spark, d):
 
 
 def _orders(spark, d):
-    o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("price"), F.expr("o_orderdate + INTERVAL 400 DAYS").alias("seen"))
+    """Every order is in the snapshot (older ones), the batch (newer ones) or both; orders that are filled have another price in the batch."""
+    o = table(spark, d, "orders").withColumn("_day", F.col("o_orderdate").cast("date"))
+    old = o.where("_day < DATE '1999-01-01'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"))
+    new = o.where("_day >= DATE '1997-01-01'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("price"), F.expr("o_orderdate + INTERVAL 400 DAYS").alias("seen"))
     return old, new
 
 
-_OLD = "(SELECT o_orderkey AS k, o_totalprice AS price, o_orderdate AS t FROM orders WHERE o_orderkey % 3 <> 0)"
-_NEW = "(SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderdate + INTERVAL 400 DAY AS t FROM orders WHERE o_orderkey % 2 = 0)"
+_OLD = "(SELECT o_orderkey AS k, o_totalprice AS price, o_orderdate AS t FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1999-01-01')"
+_NEW = "(SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderdate + INTERVAL 400 DAY AS t FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01')"
 
 
 @query(f"SELECT CASE WHEN o.k IS NULL THEN 'new' WHEN o.price <> n.price THEN 'updated' ELSE 'touched' END AS action, count(*) AS n FROM {_NEW} n LEFT JOIN {_OLD} o ON n.k = o.k GROUP BY 1")
@@ -330,11 +331,11 @@ _RULES = [("allow", "/"), ("disallow", "/page"), ("disallow", "/*/a"), ("allow",
 
 @query("""WITH r(kind, pattern) AS (VALUES """ + ", ".join(f"('{k}', '{p}')" for k, p in _RULES) + r"""), u AS (SELECT page_id, CASE WHEN regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) END AS path FROM pages),
     m AS (SELECT page_id, coalesce(max(length(pattern)) FILTER (kind = 'allow'), -1) AS a, coalesce(max(length(pattern)) FILTER (kind = 'disallow'), -1) AS d FROM u JOIN r ON regexp_matches(path, '^' || replace(replace(pattern, '.', '\.'), '*', '.*')) GROUP BY page_id)
-    SELECT page_id, a >= d AS allowed FROM m""")
+    SELECT page_id, coalesce(a >= d, true) AS allowed FROM pages LEFT JOIN m USING (page_id)""")
 def robots_longest_match(spark, d):
     rules = spark.createDataFrame(_RULES, "kind string, pattern string")
     path = F.coalesce(F.nullif(F.parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-    hit = table(spark, d, "pages").select("page_id", path.alias("path")).join(F.broadcast(rules), F.regexp("path", X.robots_regex("pattern")))  # a site's rules, a few rows
+    hit = table(spark, d, "pages").select("page_id", path.alias("path")).join(F.broadcast(rules), F.regexp("path", X.robots_regex("pattern")), "left")  # _RULES, a few rows
     longest = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.length("pattern"))), F.lit(-1))
     return hit.groupBy("page_id").agg((longest("allow") >= longest("disallow")).alias("allowed"))
 
@@ -381,7 +382,7 @@ def tfidf_word(spark, d):
     return _weights(spark, d).select("id", "term", F.round("w", 5).alias("w"))
 
 
-_QUERY = "q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark WHERE item_id < 40)"
+_QUERY = "q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark)"
 
 
 @query(f"""WITH {_TFIDF}, {_QUERY}, s AS (SELECT item_id, id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s)
@@ -391,7 +392,7 @@ def search_topk(spark, d):
     return vectors.search(_weights(spark, d), q, "id", "item_id", 5, 0.02).select("item_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
-_BLOCK = "b AS (SELECT conv_id * 1000 + turn AS id, role || '-' || (conv_id % 20) AS blk FROM conversations)"
+_BLOCK = "b AS (SELECT conv_id * 1000 + turn AS id, role AS blk FROM conversations)"
 
 
 @query(f"WITH {_TFIDF}, {_BLOCK}, x AS (SELECT w.*, blk FROM w JOIN b USING (id)) SELECT a.id AS a, c.id AS b, round(sum(a.w * c.w), 4) AS score FROM x a JOIN x c ON a.blk = c.blk AND a.term = c.term AND a.id < c.id GROUP BY 1, 2 HAVING sum(a.w * c.w) >= 0.75")

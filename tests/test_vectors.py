@@ -11,7 +11,7 @@ def test_search_has_every_item(spark):
     d = duckdb.connect()
     for t in ("benchmark", "conversations"):
         d.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    sql = ORACLE_SQL["search_topk"].replace(" WHERE item_id < 40", "")
+    sql = ORACLE_SQL["search_topk"]
     assert "item_id <" not in sql
     want = sorted((i, r, v, round(s, 3)) for i, v, r, s in d.execute(sql).fetchall())
     got = sorted((r["item_id"], r["rank"], r["id"], round(r["score"], 3)) for r in QUERIES["search_topk"](spark, SF).collect())
@@ -24,7 +24,7 @@ def test_duplicates_of_other_conversations(spark, tmp_path):
     d.execute(f"""CREATE TABLE conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet' UNION ALL
         SELECT 100000 + conv_id * 2 + 1, turn, role, regexp_replace(text, '\\w+\\W+', '') FROM '/root/testdata/sf0.01/conversations.parquet' WHERE conv_id < 30""")
     d.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet'")
-    sql = ORACLE_SQL["near_duplicates_blocked"].replace(" || '-' || (conv_id % 20)", "")
+    sql = ORACLE_SQL["near_duplicates_blocked"]
     assert "%" not in sql
     want = {(a, b): s for a, b, s in d.execute(sql).fetchall()}
     got = {(r["a"], r["b"]): r["score"] for r in QUERIES["near_duplicates_blocked"](spark, str(tmp_path)).collect()}
