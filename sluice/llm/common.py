@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 SLICE_ROWS, BATCH_ROWS = 512, 1024
 
 
-#: Bits of a filter of keys: what is broadcast with it is at most 32 MB.
-MAX_BITS = 1 << 28
+#: Bits of a filter of keys: what is broadcast with it is at most 32 MB. Up to so many ids, with a digest each, are broadcast themselves: about as much.
+MAX_BITS, MAX_IDS = 1 << 28, 1 << 18
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -116,7 +116,7 @@ def marked(ws: Workspace, docs: DataFrame, key: Column, keys: DataFrame, flag: s
         return docs.withColumn(flag, F.lit(False))
     m = min(max_bits, max(1 << 15, 1 << (16 * n - 1).bit_length()))
     bit = F.pmod(F.col("h"), F.lit(m)) + 1
-    bits = np.zeros(m // 8, np.uint8)
+    bits = np.zeros(max(m // 8, 4096), np.uint8)
     parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     for k, part in parts.collect():  # at most max_bits in all
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
@@ -130,17 +130,34 @@ def marked(ws: Workspace, docs: DataFrame, key: Column, keys: DataFrame, flag: s
     return docs.withColumn(flag, F.coalesce(key.isNotNull() & test(F.coalesce(F.pmod(key, F.lit(m)), F.lit(0).cast("long"))), F.lit(False)))
 
 
-def without(ws: Workspace, docs: DataFrame, gone: DataFrame, own: list[Column], max_bits: int = MAX_BITS) -> DataFrame:
+def among(ws: Workspace, docs: DataFrame, key: str, ids: DataFrame, max_ids: int = MAX_IDS, max_bits: int = MAX_BITS) -> tuple[DataFrame, bool]:
+    """The rows of ``docs`` whose ``key`` (a long) is in the one column of ``ids``, without a shuffle of ``docs``, and whether exactly those.
+
+    Up to ``max_ids`` ids are broadcast as they are; beyond that a bitmap lets some other rows through.
+    """
+    ids = ids.toDF(key).where(F.col(key).isNotNull()).distinct()
+    if ids.count() <= max_ids:
+        return docs.join(F.broadcast(ids), key, "left_semi"), True
+    return marked(ws, docs, F.xxhash64(key), ids.select(F.xxhash64(key)), "_wanted", max_bits).where("_wanted").drop("_wanted"), False
+
+
+def without(ws: Workspace, docs: DataFrame, gone: DataFrame, own: list[Column], max_ids: int = MAX_IDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, whose values of ``own`` aren't a row of ``gone`` (its columns in that order, nulls equal).
 
-    Rows that the bitmap of gone values of the first column doesn't mark pass straight through with their texts; only marked ones shuffle, in an anti join.
+    Up to ``max_ids`` gone rows are broadcast, and texts stay where they are. Beyond that a bitmap of gone values of the first column
+    marks rows: the others pass straight through, and only marked ones shuffle, in an anti join. The columns after the first are
+    only made for rows whose first is a gone one's.
     """
     flag = "_marked_" + uuid.uuid4().hex[:8]
     names = [f"_gone_{i}_{flag}" for i in range(len(own))]
     gone = gone.toDF(*names)
+    same = own[0].eqNullSafe(F.col(names[0]))
+    if gone.count() <= max_ids:
+        for c, name in zip(own[1:], names[1:], strict=True):
+            same = same & (F.when(c.eqNullSafe(F.col(name)), 1).otherwise(0) > 0)  # no join key, so made for matches only
+        return docs.join(F.broadcast(gone), same, "left_anti")
     said = marked(ws, docs, F.xxhash64(own[0]), gone.select(F.xxhash64(names[0])), flag, max_bits)
-    same = F.lit(True)
-    for c, name in zip(own, names, strict=True):
+    for c, name in zip(own[1:], names[1:], strict=True):
         same = same & c.eqNullSafe(F.col(name))
     rest = said.where(F.col(flag)).drop(flag).join(gone, same, "left_anti")
     return said.where(~F.col(flag)).drop(flag).unionByName(rest)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MAX_BITS, Workspace, without
+from .common import MAX_BITS, MAX_IDS, Workspace, without
 
 BITS_A_ROW, HASHES = 16, 2
 #: Bits of a chunk, the unit in which filters are merged.
@@ -133,9 +133,9 @@ def exact_groups(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS)
     return alone.unionByName(own)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay. Only rows whose id may be a dropped one's are hashed again and shuffle."""
+def drop_copies(spark: SparkSession, docs: DataFrame, max_ids: int = MAX_IDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay. Only rows whose id may be a dropped one's are hashed again, and no other shuffles."""
     ws = Workspace(spark, "exact-dedup-dropped")
     gone = ws.save(exact_groups(spark, docs, max_bits).where("NOT kept").select(F.col("doc_id"), F.unhex("text_sha256").alias("digest")).distinct(), "dropped")
     flag = F.unhex(F.sha2(normalised().cast("binary"), 256))
-    return without(ws, docs, gone, [F.col("doc_id"), flag], max_bits)
+    return without(ws, docs, gone, [F.col("doc_id"), flag], max_ids, max_bits)

@@ -12,17 +12,17 @@ components, each class outside the largest one is held against the classes of ot
 signatures first and on full sets; a link joins two components at once, so a group sends fewer links than it has
 components. What is connected already needs no further pair, so components are those of all links that share a bucket.
 
-The texts of classes that share a bucket shuffle once, to make their sets; then sets travel, once for each candidate pair, to
-the pair's pivot; pivots with many partners are split into salted groups.
+Texts never shuffle. The sets of classes that a step asks about are made where the texts are, and travel, once for each candidate
+pair, to the pair's pivot; pivots with many partners are split into salted groups.
 
 Null and empty texts, and ones without words: size 0, own component, kept. Null id: as if linked with nothing (component null, kept).
-Repeated ids: each row by its own text; rows of one class share a component. Empty table: no rows.
+Repeated ids: n_shingles is each row's own; rows of one id are one document, so a link of one of its texts counts for all. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BITS, Workspace, claim, marked, slices, texts_of, without
+from .common import MAX_BITS, MAX_IDS, Workspace, among, claim, slices, texts_of, without
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -148,21 +148,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, bands array<long>, sig binary")
 
 
-def _sets(ws: Workspace, docs: DataFrame, wanted: DataFrame, size: int, max_bits: int) -> DataFrame:
-    """id, elements (64 bits each, ascending) of the documents whose id is in ``wanted``, and of a few others.
+def _sets(ws: Workspace, docs: DataFrame, wanted: DataFrame, size: int, max_ids: int, max_bits: int) -> DataFrame:
+    """id, elements (64 bits each, ascending) of the documents whose id is in ``wanted``, and perhaps of others, which then have no partner.
 
-    A bitmap of the wanted ids goes to the texts, so that they don't shuffle; others that it lets through have no
-    partner later, so a full bitmap costs time and space only.
+    The texts don't shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    rows = marked(ws, rows, F.xxhash64("id"), wanted.select(F.xxhash64("id")), "wanted", max_bits).where("wanted").select("id", "text")
+    rows, _ = among(ws, rows, "id", wanted, max_ids, max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        claim("near_dedup", _words.clear)
+        for batch in slices(batches, 128):
             own = [shingles(t, size).astype("<u8").tobytes() for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "elements"])
 
-    return rows.mapInArrow(run, "id long, elements binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, elements binary")
 
 
 def _read(b: bytes) -> np.ndarray:
@@ -247,10 +247,10 @@ _GROUP = ("key", "block", "sub", "band")
 _NEAR = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("sub", pa.int32()), ("band", pa.int32()), ("id", pa.int64()), ("component", pa.int64()), ("sig", pa.binary()), ("minor", pa.bool_())])
 
 
-def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket, enough to join all components that links join.
 
-    ``known`` has id, sig. A bucket is dealt out in blocks of its members by sub-blocks of those outside its largest
+    ``known`` has id, sig; ``sets`` gives the sets of ids. A bucket is dealt out in blocks of its members by sub-blocks of those outside its largest
     component. Signatures alone travel first; the sets follow only of members that have a near signature in their group,
     which then joins components as it finds links.
     """
@@ -308,10 +308,10 @@ def _cross(ws: Workspace, buckets: DataFrame, known: DataFrame, sets: DataFrame,
     spread = lambda df: df.repartition(*_GROUP[:3]).sortWithinPartitions(*_GROUP[:3])
     form = "key long, block int, sub int, band int, id long, component long, sig binary, minor boolean"
     near = ws.save(spread(majors.unionByName(minors)).mapInArrow(candidates, form), "candidates")
-    return spread(near.join(sets, "id").select(*near.columns, "elements")).mapInArrow(run, "a long, b long").distinct()
+    return spread(near.join(sets(near.select("id")), "id").select(*near.columns, "elements")).mapInArrow(run, "a long, b long").distinct()
 
 
-def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_bits: int) -> DataFrame:
+def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_ids: int, max_bits: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for each row of ``docs``."""
     signed = ws.save(signatures(docs, size), "signed")
     rows = ws.save(signed.select("doc_id", "text_hash", "n", "digest"), "rows")
@@ -322,15 +322,16 @@ def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_bit
     buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("b")).where("m > 1").select("key", F.col("b.id").alias("b"), F.col("b.n").alias("bn"))
     shared = ws.save(buckets.join(full, "key"), "buckets")
-    sets = ws.save(_sets(ws, docs, ws.save(shared.select("id").distinct(), "wanted"), size, max_bits), "sets")
+    # made anew for each use, of the documents that it is about: cheaper than to move the sets of all that share a bucket
+    sets = lambda ids: _sets(ws, docs, ids, size, max_ids, max_bits)
     # sizes that rule a link out need no sets
     pairs = ws.save(shared.where(F.col("id") != F.col("b")).where(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")).select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    links = ws.save(_verified(sets, pairs, percent), "links")
+    links = ws.save(_verified(sets(pairs.select("a").union(pairs.select("b"))), pairs, percent), "links")
     labels = components(ws, links, "first")
     more = ws.save(_cross(ws, shared.select("key", "band", "id"), heads.select("id", "sig"), sets, labels, percent), "more-links")
     if not more.isEmpty():
         labels = components(ws, links.unionByName(more), "second")
-    ws.drop("heads", "buckets", "wanted", "sets", "pairs", "links", "more-links", "candidates")
+    ws.drop("heads", "buckets", "pairs", "links", "more-links", "candidates")
     member = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("component", "id").alias("found"))
     component = F.coalesce("found", "doc_id")
     return rows.join(member, "digest", "left").select(
@@ -338,13 +339,13 @@ def _components(ws: Workspace, docs: DataFrame, size: int, percent: int, max_bit
     )
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_bits: int = MAX_BITS) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_ids: int = MAX_IDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
-    return _components(Workspace(spark, "near-dedup"), docs, size, percent, max_bits).drop("text_hash")
+    return _components(Workspace(spark, "near-dedup"), docs, size, percent, max_ids, max_bits).drop("text_hash")
 
 
-def keep_heads(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_heads(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, max_ids: int = MAX_IDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, that are their component's document. Only rows whose id may be a dropped one's shuffle."""
     ws = Workspace(spark, "near-dedup-dropped")
-    gone = ws.save(_components(ws, docs, size, percent, max_bits).where("NOT kept").select("doc_id", "text_hash").distinct(), "dropped")
-    return without(ws, docs, gone, [F.col("doc_id").cast("long"), F.xxhash64("text")], max_bits)
+    gone = ws.save(_components(ws, docs, size, percent, max_ids, max_bits).where("NOT kept").select("doc_id", "text_hash").distinct(), "dropped")
+    return without(ws, docs, gone, [F.col("doc_id").cast("long"), F.xxhash64("text")], max_ids, max_bits)
