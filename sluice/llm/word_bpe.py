@@ -3,8 +3,8 @@
 The normaliser and the splitter of such a file never join characters over a space, so a text is
 encoded as its space-separated chunks; each distinct chunk is split into pre-tokens, and each
 distinct pre-token goes once through the library's model. Chunks that hold a character which Python's
-Unicode tables don't know take the library's whole path, as the library's tables may be newer; so do texts that hold
-a special token's string, and files of another make.
+Unicode tables don't know take the library's whole path, as the library's tables are others; so do texts that aren't composed
+(NFC) or hold a special token's string, and files of another make.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ class WordEncoder:
         if not self.fast or any(s in text for s in self.specials):
             return self._slow(text)
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if not unicodedata.is_normalized("NFC", text):  # the library composes by its own tables, which may be older too
+                return self._slow(text)
             text = "".join([c.lower() for c in text]) if "Σ" in text or "İ" in text else text.lower()
         else:
             text = text.lower()
