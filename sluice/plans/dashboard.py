@@ -270,13 +270,13 @@ def near_duplicate_documents(spark, d):
 
 
 @query("""WITH h AS (SELECT doc_id AS id, n_chars / 20000.0 AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE n_chars / 20000.0 > 0.02)
-    SELECT h.id, round(score, 4) AS score, lang, source = 'src0' AS synthetic FROM h JOIN documents ON doc_id = id WHERE rn <= 120 AND source <> 'src1' ORDER BY score DESC, h.id LIMIT 40""")
+    SELECT h.id, round(score, 6) AS score, lang, source = 'src0' AS synthetic FROM h JOIN documents ON doc_id = id WHERE rn <= 120 AND source <> 'src1' ORDER BY score DESC, h.id LIMIT 40""")
 def search_hits_joined(spark, d):
     """The best 120 hits joined to their rows, then filtered and cut; fewer than 40 may be left."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
     hits = docs.select("id", (F.col("n_chars") / 20000.0).alias("score")).where("score > 0.02").orderBy(F.desc("score"), "id").limit(120)
     rows = docs.drop("n_chars").join(F.broadcast(hits), "id")  # 120 rows
-    return rows.where("source <> 'src1'").orderBy(F.desc("score"), "id").limit(40).select("id", F.round("score", 4).alias("score"), "lang", (F.col("source") == "src0").alias("synthetic"))
+    return rows.where("source <> 'src1'").orderBy(F.desc("score"), "id").limit(40).select("id", F.round("score", 6).alias("score"), "lang", (F.col("source") == "src0").alias("synthetic"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = (SELECT min(vec_id) FROM v))
