@@ -138,9 +138,12 @@ class WordEncoder:
         if not self.fast or any(s in text for s in self.specials):
             return self._slow(text)
         if not text.isascii():
+            whole = text
             if not unicodedata.is_normalized("NFC", text):  # the library composes by its own tables, which may be older too
                 return self._slow(text)
             text = "".join([c.lower() for c in text]) if "Σ" in text or "İ" in text else text.lower()
+            if any(s in text for s in self.specials):  # in small letters only now; a chunk on the library's path would have it found
+                return self._slow(whole)
         else:
             text = text.lower()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))

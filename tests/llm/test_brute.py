@@ -237,6 +237,12 @@ def test_encoder_of_new_and_rare_characters():
         assert e.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_special_token_in_capitals_beside_an_unknown_character():
+    e, whole = word_bpe.encoder(WORDS), Tokenizer.from_file(WORDS)
+    for text in ("a\U000323b0<|ENDOFTEXT|>b", "é <|EndOfText|>\U000323b0, x", "é <|STARTOFTEXT|> x"):
+        assert e.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_search_takes_every_finite_vector(spark):
     rows = [(0, [1.0, 0.0]), (1, [300000.0, 0.0]), (2, [0.5, 0.0]), (3, [-1e300, 1.0]), (4, [1e300, 0.0]), (5, [float("inf"), 0.0]), (6, []), (50, []), (50, [0.0, 2.0]), (50, [0.0, 1.0])]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=3, query_block=1).collect()}
