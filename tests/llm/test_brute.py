@@ -243,6 +243,37 @@ def test_special_token_in_capitals_beside_an_unknown_character():
         assert e.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_many_texts_equal_the_library(monkeypatch):
+    whole, rng = Tokenizer.from_file(WORDS), random.Random(5)
+    some = [*"abcXYZ019.,;:!?'’\"#%&*()-_|<>/ \n\t\r\x00\x0b\u00a0\u2003éßŒİΣς日本٣½①ªʰ😀", "\u0301", "\u200d", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "\U000323b0", "word", "word,***", "  "]
+    texts = ["", " ", "\n", "...", "a" * 300, "x, " * 1000, *("".join(rng.choices(some, k=rng.randrange(60))) for _ in range(4000))]
+    texts += [f"a{c}b, {c}. x{c}'s {c}{c}!" for c in map(chr, (*range(1, 0xD800, 7), *range(0xF900, 0x11000, 5)))]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for room, size in ((24 << 20, len(texts)), (1 << 10, 97), (0, 1)):  # the last forgets all words that the next text doesn't use
+        monkeypatch.setattr(word_bpe, "KNOWN_BYTES", room)
+        e = word_bpe.WordEncoder(WORDS)
+        own = texts if size > 1 else texts[:300]
+        assert [x for at in range(0, len(own), size) for x in e.encode_all(own[at : at + size])] == want[: len(own)]
+    assert e.encode_all([]) == [] and e.encode_all([""]) == [b""] and e.encode_all(["<|endoftext|>"]) == [e.encode("<|endoftext|>")]
+
+
+def test_words_of_a_long_tail_are_coded_once(monkeypatch):
+    """More words than the cache of chunks holds come again, with other marks: the shards' encoder codes each of them once."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeioulnrst", k=9)) for _ in range(3000)]
+    texts = [" ".join(w + mark for w in rng.sample(words, 1000)) for mark in ("", ",", ".", "!!", ",***", ")") for _ in range(3)]
+    monkeypatch.setattr(word_bpe, "CACHE", 500)
+    counts = []
+    for encode in (lambda e: [e.encode(t) for t in texts], lambda e: [x for t in texts for x in e.encode_all([t])]):
+        e, n = word_bpe.WordEncoder(WORDS), Counter()
+        plain = e.model
+        e.model = type("Model", (), {"tokenize": lambda _, w, n=n, plain=plain: n.update([w]) or plain.tokenize(w)})()
+        counts.append((encode(e), n))
+    (want, before), (got, after) = counts
+    assert got == want and max(after[w] for w in words) == 1
+    assert sum(before.values()) > 3 * sum(after.values())  # the way of single texts, which the shards took before
+
+
 def test_search_takes_every_finite_vector(spark):
     rows = [(0, [1.0, 0.0]), (1, [300000.0, 0.0]), (2, [0.5, 0.0]), (3, [-1e300, 1.0]), (4, [1e300, 0.0]), (5, [float("inf"), 0.0]), (6, []), (50, []), (50, [0.0, 2.0]), (50, [0.0, 1.0])]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=3, query_block=1).collect()}
