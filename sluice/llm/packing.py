@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, slices, texts_of
+from .common import Workspace, groups
 from .word_bpe import encoder
 
 
@@ -37,10 +37,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches):
+        for keys, texts in groups(batches):
             out: list[list] = [[] for _ in schema]
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = enc.encode(text) + end
+            for key, ids in zip(keys, enc.encode_all(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     n = len(own) // 4

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_bytes, texts_of
+from .common import Workspace, groups, slices, text_bytes
 from .word_bpe import encoder
 
-#: Text bytes of a partition, token ids of a shard, and characters of texts that are encoded at once, at about which one ends.
-PARTITION_BYTES, SHARD_IDS, GROUP_CHARS = 32 << 20, 2 << 20, 4 << 20
+#: Text bytes of a partition, token ids of a shard.
+PARTITION_BYTES, SHARD_IDS = 32 << 20, 2 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -147,22 +147,6 @@ class Shard:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Keys and texts of rows in their order, about ``GROUP_CHARS`` characters at once."""
-    keys, texts, size = [], [], 0
-    for batch in slices(batches):
-        for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            keys.append(key)
-            texts.append(text)
-            size += len(text) + 1
-            if size >= GROUP_CHARS:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-                pa.default_memory_pool().release_unused()
-    if keys:
-        yield keys, texts
-
-
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode ``docs`` and write shards in ascending order of doc_id at ``path``.
 
@@ -187,7 +171,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
             keys, ids, held, seq, start = [], [], 0, seq + 1, start + held
             return pa.RecordBatch.from_pydict(row, schema=_SHARDS)
 
-        for own, texts in _groups(batches):
+        for own, texts in groups(batches):
             for key, x in zip(own, enc.encode_all(texts), strict=True):
                 keys.append(key)
                 ids.append(x + end)

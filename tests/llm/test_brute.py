@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import common, exact_dedup, language_id, near_dedup, secret_scan, topk_search, toxicity, word_bpe
+from sluice.llm import common, exact_dedup, language_id, near_dedup, packing, secret_scan, topk_search, toxicity, word_bpe
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -274,6 +275,32 @@ def test_words_of_a_long_tail_are_coded_once(monkeypatch):
     assert sum(before.values()) > 3 * sum(after.values())  # the way of single texts, which the shards took before
 
 
+def test_packing_codes_words_of_a_long_tail_once(spark, monkeypatch):
+    """A packing task over more words than the cache of chunks holds, in many batches: each word goes once through the model."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeioulnrst", k=9)) for _ in range(3000)]
+    texts = [" ".join(w + mark for w in rng.sample(words, 1000)) for mark in ("", ",", ".", "!!", ",***", ")") for _ in range(3)] + [None, ""]
+    monkeypatch.setattr(word_bpe, "CACHE", 500)
+    e, n = word_bpe.WordEncoder(WORDS), Counter()
+    plain = e.model
+    e.model = type("Model", (), {"tokenize": lambda _, w: n.update([w]) or plain.tokenize(w)})()
+    monkeypatch.setattr(packing, "encoder", lambda path: e)
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda _: 3})())}))
+    docs = type("Docs", (), {"select": lambda self, *_: self, "mapInArrow": lambda _, run, schema: run})()  # hands out what a task runs
+    run = packing.pieces(docs, WORDS, 0, 2048)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t], pa.string())], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    got = [tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist()]
+    whole, want, seen = Tokenizer.from_file(WORDS), [], Counter()
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[at : at + 2048], "<u4")
+            want.append((i, k, at, len(own), zlib.crc32(own.tobytes()), 3, seen[len(own)]))
+            seen[len(own)] += 1
+    assert got == want
+    assert max(n[w] for w in words) == 1
+
+
 def test_search_takes_every_finite_vector(spark):
     rows = [(0, [1.0, 0.0]), (1, [300000.0, 0.0]), (2, [0.5, 0.0]), (3, [-1e300, 1.0]), (4, [1e300, 0.0]), (5, [float("inf"), 0.0]), (6, []), (50, []), (50, [0.0, 2.0]), (50, [0.0, 1.0])]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=3, query_block=1).collect()}
