@@ -38,7 +38,7 @@ class TagModel:
     def _vectors(self, rows: DataFrame, *keep: str) -> DataFrame:
         size = self.size
         sparse = F.udf(lambda v: Vectors.sparse(size, [(x["i"], x["w"]) for x in v or ()]), VectorUDT())
-        w = vectors.weigh(vectors.term_counts(rows, self.id_col, _terms()), self.id_col, self.df.drop("i"), self.n).join(F.broadcast(self.df.select("term", "i")), "term")  # at most ``most`` terms
+        w = vectors.weigh(vectors.term_counts(rows, self.id_col, _terms()), self.id_col, F.broadcast(self.df.drop("i")), self.n).join(F.broadcast(self.df.select("term", "i")), "term")  # at most ``most`` terms
         v = w.groupBy(self.id_col).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("v"))
         return rows.select(self.id_col, *keep).join(v, self.id_col, "left").select(self.id_col, *keep, sparse("v").alias("x"))
 
