@@ -31,3 +31,7 @@ def check(spark, copied, name):
 
 def test_pairs(spark, copied):
     assert len(check(spark, copied, "duplicate_pairs")) > 1000
+
+
+def test_similar(spark, copied):
+    assert len(check(spark, copied, "similar_topk")) > 200
