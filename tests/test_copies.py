@@ -35,3 +35,7 @@ def test_pairs(spark, copied):
 
 def test_similar(spark, copied):
     assert len(check(spark, copied, "similar_topk")) > 200
+
+
+def test_identity(spark, copied):
+    check(spark, copied, "identity_space")
