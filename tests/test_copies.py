@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import rows
 
 from sluice import catalog
+from sluice.operators import search
 from sluice.plans import dashboard  # noqa: F401  it registers its queries
 
 
@@ -39,3 +41,22 @@ def test_similar(spark, copied):
 
 def test_identity(spark, copied):
     check(spark, copied, "identity_space")
+
+
+def test_survivors(spark, copied):
+    assert len(check(spark, copied, "dup_survivors")) > 500
+
+
+def test_survivors_need_no_pairs_of_rows(spark):
+    jobs = spark.range(20_000).selectExpr("id", "'Senior lamp' AS title", "'Brand' AS company", "'x' AS location", "id % 3 AS first_seen")
+    got = search.surviving(jobs, "id", 20_000)
+    # 200 million pairs
+    assert got.count() == 19_999 and {(r.dup, r.dup_of) for r in got.where("dup < 6").collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)}
+    back = search.surviving(jobs.withColumn("first_seen", -F.col("id")), "id", 20_000)
+    assert {(r.dup, r.dup_of) for r in back.where("dup < 3").collect()} == {(0, 1), (1, 2), (2, 3)} and back.count() == 19_999
+
+
+def test_survivors_of_unknown_times(spark):
+    jobs = spark.createDataFrame([(1, None), (2, 5), (3, 4), (4, None)], "id long, first_seen int").selectExpr("*", "'Senior lamp' AS title", "'Brand' AS company", "'x' AS location")
+    want = {tuple(r) for r in search.survivors(search.find_duplicates(jobs, "id", 4), jobs, "id").collect()}
+    assert {tuple(r) for r in search.surviving(jobs, "id", 4).collect()} == want
