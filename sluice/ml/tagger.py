@@ -18,20 +18,28 @@ def _terms() -> Column:
     return vectors.word_terms(X.without_accents(F.lower("_text")), bigrams=True)
 
 
+def grouped(rows: DataFrame, id_col: str, *by: str) -> DataFrame:
+    """Rows that agree in ``by`` as one, under their first id, with their number ``_n``."""
+    return rows.groupBy(*by).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n"))
+
+
 class TagModel:
-    """One field's classifier over word 1-2-gram TF-IDF, with the vocabulary of the rows it was fitted on."""
+    """One field's classifier over word 1-2-gram TF-IDF, with the vocabulary of the rows it was fitted on.
+
+    A row of ``rows`` (id, _text, label, _n) stands for _n equal ones and counts as these.
+    """
 
     def __init__(self, rows: DataFrame, id_col: str, label: str, classes: list[str], most: int = 20_000, c: float = 2.0):
         self.id_col, self.classes = id_col, sorted(classes)
-        self.n = rows.count()
-        tf = vectors.term_counts(rows, id_col, _terms())
+        count = {r[0]: r[1] for r in rows.groupBy(label).agg(F.sum("_n")).collect()}
+        self.n = sum(count.values())
+        tf = vectors.term_counts(rows, id_col, _terms(), "_n")
         known = vectors.vocabulary(tf, self.n, most=most).collect()  # at most ``most`` rows
         self.df = rows.sparkSession.createDataFrame([(r["term"], r["df"], i) for i, r in enumerate(sorted(known))], "term string, df long, i int").cache()
         self.size = max(1, len(known))
-        count = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
         y = F.array_position(F.array(*map(F.lit, self.classes)), F.col(label)).cast("double") - 1
-        weight = F.element_at(F.create_map(*[F.lit(v) for k in self.classes for v in (k, self.n / (len(self.classes) * count[k]))]), F.col(label))
-        x = self._vectors(rows, label).withColumn("y", y).withColumn("weight", weight)
+        weight = F.element_at(F.create_map(*[F.lit(v) for k in self.classes for v in (k, self.n / (len(self.classes) * count[k]))]), F.col(label)) * F.col("_n")
+        x = self._vectors(rows, label, "_n").withColumn("y", y).withColumn("weight", weight)
         regression = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", maxIter=300, regParam=1 / (c * self.n), standardization=False)
         self.model: LogisticRegressionModel = regression.fit(x)
 
@@ -40,7 +48,7 @@ class TagModel:
         sparse = F.udf(lambda v: Vectors.sparse(size, [(x["i"], x["w"]) for x in v or ()]), VectorUDT())
         w = vectors.weigh(vectors.term_counts(rows, self.id_col, _terms()), self.id_col, F.broadcast(self.df.drop("i")), self.n).join(F.broadcast(self.df.select("term", "i")), "term")  # at most ``most`` terms
         v = w.groupBy(self.id_col).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("v"))
-        return rows.select(self.id_col, *keep).join(v, self.id_col, "left").select(self.id_col, *keep, sparse("v").alias("x"))
+        return rows.select(self.id_col, *keep).join(vectors.large(v), self.id_col, "left").select(self.id_col, *keep, sparse("v").alias("x"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """id, guess, p: the likeliest class and its probability."""
@@ -50,8 +58,8 @@ class TagModel:
 
 
 def coverage(rows: DataFrame, label: str) -> dict[str, object]:
-    """Counts by class, classes kept and too rare, and the share of rows with a label."""
-    count = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row a class
+    """Counts by class, classes kept and too rare, and the share of rows with a label, of rows that stand for _n each."""
+    count = {r[0]: r[1] for r in rows.groupBy(label).agg(F.sum("_n")).collect()}  # a row a class
     total, none = sum(count.values()), count.pop(None, 0)
     kept = sorted(k for k, n in count.items() if n >= MIN_CLASS)
     return {"count": count, "kept": kept, "too_rare": sorted(set(count) - set(kept)), "coverage": round((total - none) / total, 3) if total else 0.0}
@@ -59,14 +67,14 @@ def coverage(rows: DataFrame, label: str) -> dict[str, object]:
 
 def agreement(rows: DataFrame, id_col: str, label: str, classes: list[str], folds: int) -> float:
     """Mean share of held-out rows for which the model says what the rule says; agreement with rules, not accuracy."""
-    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
+    dealt = grouped(rows.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))), id_col, "_fold", "_text", label).cache()
     said = []
     for k in range(folds):
         train, held = dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k)
         own = [r[0] for r in train.select(label).distinct().collect()]
         if len(own) > 1 and not held.isEmpty():
-            got = TagModel(train, id_col, label, own).predict(held).join(held.select(id_col, label), id_col)
-            said.append(got.agg(F.avg((F.col("guess") == F.col(label)).cast("double"))).first()[0])
+            got = TagModel(train, id_col, label, own).predict(held).join(vectors.large(held.select(id_col, label, "_n")), id_col)
+            said.append(got.agg(F.sum(F.when(F.col("guess") == F.col(label), F.col("_n")).otherwise(0)) / F.sum("_n")).first()[0])
     return round(sum(said) / len(said), 3) if said else 0.0
 
 
@@ -79,17 +87,20 @@ def tag(jobs: DataFrame, id_col: str, cross_validate: bool = True) -> tuple[Data
     if n < MIN_ROWS:
         return None, {"trained": False, "reason": f"only {n} rows"}
     seen = search.label_text()
-    rows = jobs.select(id_col, search.feature_text().alias("_text"), X.label_role(seen).alias("role_family"), X.label_seniority(seen).alias("seniority")).cache()
-    out, metrics = rows.select(id_col), {"trained": True, "n_rows": n}
+    rows = jobs.select(id_col, search.feature_text().alias("_text"), X.label_role(seen).alias("role_family"), X.label_seniority(seen).alias("seniority"))
+    # equal rows are learned from as one that weighs as much, and a text is guessed once
+    some = grouped(rows, id_col, "_text", "role_family", "seniority").cache()
+    texts = some.groupBy("_text").agg(F.min(id_col).alias(id_col)).cache()
+    out, metrics = rows, {"trained": True, "n_rows": n}
     for field in ("role_family", "seniority"):
-        own = coverage(rows, field)
+        own = coverage(some, field)
         metrics |= {f"{field}_coverage": own["coverage"], f"{field}_classes_kept": own["kept"], f"{field}_classes_too_rare": own["too_rare"], f"{field}_cv": None}
-        label = rows.select(id_col, F.col(field))
         if len(own["kept"]) >= 2:
-            train = rows.where(F.col(field).isin(own["kept"]))
+            kept = F.col(field).isin(own["kept"])
             if cross_validate:
-                metrics[f"{field}_cv"] = agreement(train, id_col, field, own["kept"], min(FOLDS, min(own["count"][k] for k in own["kept"])))
-            guess = TagModel(train, id_col, field, own["kept"]).predict(rows).select(id_col, F.when(F.col("p") >= SURE, F.col("guess")).alias("_guess"))
-            label = label.join(guess, id_col, "left").select(id_col, F.coalesce(field, "_guess").alias(field))
-        out = out.join(label, id_col)
-    return out, metrics
+                metrics[f"{field}_cv"] = agreement(rows.where(kept), id_col, field, own["kept"], min(FOLDS, min(own["count"][k] for k in own["kept"])))
+            train = some.where(kept).groupBy("_text", field).agg(F.min(id_col).alias(id_col), F.sum("_n").alias("_n"))
+            guess = TagModel(train, id_col, field, own["kept"]).predict(texts).where(F.col("p") >= SURE)
+            guess = texts.join(vectors.large(guess), id_col).select("_text", F.col("guess").alias("_guess"))
+            out = out.join(vectors.large(guess), "_text", "left").withColumn(field, F.coalesce(field, "_guess")).drop("_guess")
+    return out.select(id_col, "role_family", "seniority"), metrics

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_catalog import rows
 
 from sluice import catalog
+from sluice.ml import tagger
 from sluice.operators import search
 from sluice.plans import dashboard  # noqa: F401  it registers its queries
 
@@ -60,3 +61,15 @@ def test_survivors_of_unknown_times(spark):
     jobs = spark.createDataFrame([(1, None), (2, 5), (3, 4), (4, None)], "id long, first_seen int").selectExpr("*", "'Senior lamp' AS title", "'Brand' AS company", "'x' AS location")
     want = {tuple(r) for r in search.survivors(search.find_duplicates(jobs, "id", 4), jobs, "id").collect()}
     assert {tuple(r) for r in search.surviving(jobs, "id", 4).collect()} == want
+
+
+def test_tagger_learns_from_distinct_rows(spark, copied, monkeypatch):
+    d, at = copied
+    seen, fit = [], tagger.LogisticRegression.fit
+    monkeypatch.setattr(tagger.LogisticRegression, "fit", lambda self, x: seen.append(x.agg(F.count("*"), F.sum("weight")).first()) or fit(self, x))
+    jobs = dashboard.jobs(spark, at)
+    out, metrics = tagger.tag(jobs, "id", cross_validate=False)
+    assert out.count() == 2000 == metrics["n_rows"]
+    # four copies are one row that weighs four times as much; weights sum up to the rows with a label
+    labelled = [round(2000 * metrics[f"{f}_coverage"]) for f in ("role_family", "seniority")]
+    assert len(seen) == 2 and all(n <= 500 and abs(w - m) <= 1 for (n, w), m in zip(seen, labelled))
